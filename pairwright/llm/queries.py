@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairwright.llm.decontaminate import SQL9, op9_suffix_array
 from pairwright.llm.embeddings import op4_sorted_projection
 from pairwright.llm.simhash import op2_simhash_dedup
 from pairwright.llm.tokens import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_sorted_projection)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_sorted_projection, op9_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_suffix_array": SQL9}
