@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm.decontaminate import SQL9, op9_suffix_array
 from pairwright.llm.embeddings import op4_sorted_projection
+from pairwright.llm.mixing import SQL1, op1_pfair_mix
+from pairwright.llm.sharding import SQL7, op7_histogram_sort
 from pairwright.llm.simhash import op2_simhash_dedup
 from pairwright.llm.tokens import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op3_token_counts, op4_sorted_projection, op9_suffix_array)}
+    return {f.__name__: f for f in (op1_pfair_mix, op2_simhash_dedup, op3_token_counts, op4_sorted_projection, op7_histogram_sort, op9_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_suffix_array": SQL9}
+    return {"op1_pfair_mix": SQL1, "op7_histogram_sort": SQL7, "op9_suffix_array": SQL9}
