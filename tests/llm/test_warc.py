@@ -1,0 +1,65 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairwright.llm.warc import find_archives, read_warc, record, write_warc
+
+SCHEMA = "page_id long, url string, html string, digest string, payload int"
+
+
+def pages():
+    r = random.Random(3)
+    big = ["<html>" + "".join(r.choice("abc é<>\r\n") for _ in range(n)) for n in (90, 100, 101, 3000, 90_000)]
+    texts = [None, "", "x", "x", "y" * 99, "y" * 99, "z" * 100, "z" * 100, "é" * 50, "é" * 50, *big, *big, *big[:2], "WARC/1.1\r\n\r\n" * 30]
+    rows = [(100 - i, f"http://a/{i}\r\nX: y" if i % 3 else None, t, "d", 1) for i, t in enumerate(texts)]
+    return rows + [rows[7], (None, "u", "z" * 100, "d", None), (None, "u", "alone" * 40, "d", None), (None, "v", "alone" * 40, "d", None)]
+
+
+def expected(rows):
+    lead = {}
+    for i, _, t, *_ in rows:
+        if i is not None and len((t or "").encode()) >= 100:
+            lead[t] = min(i, lead.get(t, i))
+    out = []
+    for i, u, t, *_ in rows:
+        data, first = (t or "").encode(), lead.get(t)
+        again = first is not None and i != first
+        out.append((str(i).replace("None", "null"), "revisit" if again else "response", len(data), hashlib.sha256(data).hexdigest(), str(first) if again else None, None if again else data))
+    return out
+
+
+@pytest.mark.parametrize("split", [1, 7, 300, 10_000, 1 << 25])
+def test_round_trip(spark, tmp_path, split):
+    if split == 1:
+        rows = pages()[:8]
+    else:
+        rows = pages()
+    manifest = write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(2), f"file://{tmp_path}/w")
+    got = [(x.record_id, x.record_type, x.payload_bytes, x.payload_digest, x.refers_to, None if x.payload is None else bytes(x.payload)) for x in read_warc(manifest, split).collect()]
+    assert sorted(got, key=repr) == sorted(expected(rows), key=repr)
+    listed = find_archives(spark, f"file://{tmp_path}/w")
+    assert listed.count() == manifest.count() and listed.agg(F.sum("bytes")).first() == manifest.agg(F.sum("bytes")).first()
+
+
+def test_false_magic_and_junk(spark, tmp_path):
+    """Magic numbers that start no record: stored members of other content, broken members, junk between members."""
+    own = [record("response", str(i), "u", bytes([120]) * i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(20)]
+    other = zlib.compress(b"not a record" * 50, 0, 31)
+    broken = own[3][:-6] + b"\0\0\0\0\0\0"
+    data = b"".join(x + other + b"\x1f\x8b\x08" + broken + b"\x1f\x8b\x08\x00junk" for x in own)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    for split in (5, 64, 1000, 10**6):
+        got = read_warc(find_archives(spark, f"file://{tmp_path}"), split)
+        assert sorted(int(x.record_id) for x in got.collect()) == list(range(20))
+
+
+def test_empty_table_and_damage(spark, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    assert read_warc(write_warc(none, f"file://{tmp_path}/e")).count() == 0
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/x.warc.gz").write_bytes(record("response", "1", "u", b"payload", "0" * 64, None))
+    with pytest.raises(Exception, match="digest"):
+        read_warc(find_archives(spark, f"file://{tmp_path}/d")).collect()
