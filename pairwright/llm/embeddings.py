@@ -148,7 +148,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     scratch = Scratch(spark, "vectors")
     vec = F.col("vec")
     usable = vec.isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats travel as they are; cosines are in double precision either way
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
     good = rows.filter(F.coalesce(usable, F.lit(False)))
     bad = rows.filter(~F.coalesce(usable, F.lit(False)))
     grouped = good.groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
