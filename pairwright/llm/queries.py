@@ -10,6 +10,7 @@ from pairwright.llm.decontaminate import SQL9, op9_suffix_array
 from pairwright.llm.embeddings import op4_sorted_projection
 from pairwright.llm.mixing import SQL1, op1_pfair_mix
 from pairwright.llm.pii import op6_boosted_candidates
+from pairwright.llm.ppm import op5_ppm_scores
 from pairwright.llm.sharding import SQL7, op7_histogram_sort
 from pairwright.llm.simhash import op2_simhash_dedup
 from pairwright.llm.tokens import op3_token_counts
@@ -18,7 +19,7 @@ from pairwright.llm.warc import SQL10, op10_warc_splits
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pfair_mix, op2_simhash_dedup, op3_token_counts, op4_sorted_projection, op6_boosted_candidates, op7_histogram_sort, op8_counterfactual, op9_suffix_array, op10_warc_splits)}
+    return {f.__name__: f for f in (op1_pfair_mix, op2_simhash_dedup, op3_token_counts, op4_sorted_projection, op5_ppm_scores, op6_boosted_candidates, op7_histogram_sort, op8_counterfactual, op9_suffix_array, op10_warc_splits)}
 
 
 def oracle_sql() -> dict[str, str]:

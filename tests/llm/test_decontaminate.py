@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.llm.decontaminate import decontaminate, find_matches
+from pairwright.llm.decontaminate import decontaminate, find_matches, prepare, search
 
 DOCS, ITEMS = "doc_id long, text string, n_hit string", "item_id long, text string"
 
@@ -43,8 +43,7 @@ def data(seed=1):
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 1500])
-def test_equals_brute_force(spark, block_bytes, monkeypatch):
-    monkeypatch.setattr("pairwright.llm.decontaminate.SHARD_WORDS", 200)
+def test_equals_brute_force(spark, block_bytes):
     docs, items = data()
     found = find_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes)
     got = {x.doc_id: x for x in found.collect()}
@@ -54,6 +53,15 @@ def test_equals_brute_force(spark, block_bytes, monkeypatch):
     assert clean == {i for i, t, _ in docs if not brute(t, items)[1]}
 
 
+def test_shards_of_suffix_arrays(monkeypatch):
+    monkeypatch.setattr("pairwright.llm.decontaminate.SHARD_WORDS", 60)
+    docs, items = data()
+    tests = prepare([(None if i is None else str(i), (t or "").encode()) for i, t in items])
+    found = search([None if t is None else t.encode() for _, t, _ in docs], tests)
+    for (_, t, _), (n, spans, names, _) in zip(docs, found):
+        assert (n, int(spans[1::2].sum() - spans[::2].sum()), names) == brute(t, items)
+
+
 def test_longest_match_and_locations(spark):
     item = " ".join(f"w{i}" for i in range(30))
     doc = "a b " + " ".join(f"w{i}" for i in range(5, 22)) + " c " + " ".join(f"w{i}" for i in range(12))
