@@ -190,6 +190,38 @@ def _trie(pairs):
     return run
 
 
+#: Rows that a task packs at a time.
+PACK_ROWS = 1 << 20
+
+
+def _pack(kind: int):
+    """Rows (chunk, key or word, value) to one row a chunk with two blobs: what a chunk asked for, small enough to exchange again."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PACK_ROWS:
+                yield from emit(held)
+                held, rows = [], 0
+        if rows:
+            yield from emit(held)
+
+    def emit(held):
+        t = pa.Table.from_batches(held)
+        order = np.argsort(t.column(0).to_numpy(), kind="stable")
+        chunks, names = t.column(0).to_numpy()[order], t.column(1).take(pa.array(order))
+        values = t.column(2).to_numpy()[order]
+        borders = np.append(np.flatnonzero(np.append(True, chunks[1:] != chunks[:-1])), len(chunks))
+        for a, b in zip(borders, borders[1:]):
+            part = names.slice(a, b - a)
+            data = b" ".join(part.to_pylist()) if kind else part.to_numpy().tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunks[a]], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary()), pa.array([values[a:b].tobytes()], pa.binary())], ["chunk", "kind", "data", "vals"])
+
+    return run
+
+
 def _score(total: int, distinct: int, slice_bytes: int = SLICE_BYTES):
     """Rows of a chunk in the order n-grams, words, documents: the first two are the tables for the third."""
     floor = math.log10(total + distinct + 1)
@@ -207,10 +239,11 @@ def _score(total: int, distinct: int, slice_bytes: int = SLICE_BYTES):
                     chunk, keys, ps, known, tables = chunks[a], [], [], {}, None
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
-                    keys.append(part.column("key").to_numpy())
-                    ps.append(part.column("p").to_numpy())
+                    keys += [np.frombuffer(x, np.int64) for x in part.column("data").to_pylist()]
+                    ps += [np.frombuffer(x, np.float64) for x in part.column("vals").to_pylist()]
                 elif kinds[a] == 1:
-                    known.update(zip(part.column("data").to_pylist(), part.column("n").to_pylist()))
+                    for names, n in zip(part.column("data").to_pylist(), part.column("vals").to_pylist()):
+                        known.update(zip(names.split(b" "), np.frombuffer(n, np.int64).tolist()))
                 else:
                     if tables is None:
                         k, p = np.concatenate(keys), np.concatenate(ps)
@@ -293,14 +326,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     totals = scratch.write(words.groupBy("word").agg(F.sum("n").alias("n")), "totals")
     known = totals.filter("n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
 
-    null = lambda kind: F.lit(None).cast(kind)
-    asked = grams_.join(chances, "key").select("chunk", F.lit(0).alias("kind"), "key", "p", null("long").alias("n"), null("binary").alias("data"), null("long").alias("id"), null("boolean").alias("held"))
-    named = words.drop("n").join(totals, "word").select("chunk", F.lit(1).alias("kind"), null("long").alias("key"), null("double").alias("p"), "n", F.col("word").alias("data"), null("long").alias("id"), null("boolean").alias("held"))
-    texts = rows.select("chunk", F.lit(2).alias("kind"), null("long").alias("key"), null("double").alias("p"), null("long").alias("n"), "data", "id", "held")
-    together = asked.unionByName(named).unionByName(texts).repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
+    packed = "chunk int, kind int, data binary, vals binary"
+    asked = scratch.write(grams_.join(chances, "key").select("chunk", "key", "p").mapInArrow(_pack(0), packed), "asked")
+    named = scratch.write(words.drop("n").join(totals, "word").select("chunk", "word", "n").mapInArrow(_pack(1), packed), "named")
+    scratch.drop(found, counts, chances, totals)
+    _free(spark)
+
+    tables = asked.unionByName(named).select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"))
+    texts = rows.select("chunk", F.lit(2).alias("kind"), "data", F.lit(None).cast("binary").alias("vals"), "id", "held")
+    together = tables.unionByName(texts).repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
     out = together.mapInArrow(_score(known.n, known.v, slice_bytes), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = scratch.write(out, "scores")
-    scratch.drop(found, counts, chances, totals)
+    scratch.drop(asked, named)
     _free(spark)
     return out.withColumn("train_tokens", F.lit(known.n).cast("long"))
 

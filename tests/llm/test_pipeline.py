@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from pairwright.llm.mixing import WEIGHTS, mix_sources
-from tests.llm.test_decontaminate import brute as brute_hits
+from tests.llm.test_decontaminate import words
 from tests.llm.test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.01"
@@ -52,12 +52,16 @@ def test_near_duplicates_equal_brute_force(stored):
 
 def test_decontamination_equals_brute_force(spark, stored):
     items = [(x.item_id, x.text) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    texts = " ".join(t for _, t in items)
-    common = set(re.findall(r"\w+", texts.lower()))
+    windows = set()
+    for _, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1 if w else 0)}
+    sizes = {len(w) for w in windows}
     want = []
     for x in stored["near_duplicates"].collect():
-        near = len(common & set(re.findall(r"\w+", x.text.lower()))) >= 6
-        if not near or not brute_hits(x.text, items)[1]:
+        w = words(x.text)
+        if not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1)):
             want.append(x.doc_id)
     assert sorted(x.doc_id for x in stored["decontamination"].collect()) == sorted(want)
 
