@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.bits import high_bit, int_log2
 from pairwright.operators import coloring, community, generators, graph, matching, partition, stats
 from pairwright.plans import views
-from pairwright.plans.storage import new_path
+from pairwright.plans.storage import Scratch, new_path
 from pairwright.sources import csr, dump, mtx
 
 PARTS = 8
@@ -45,6 +45,11 @@ def _copart_arcs(spark, d):
     return graph.arcs_of(views.copart(spark, d))
 
 
+def _stored_arcs(spark, d):
+    """The same arcs from a table in the shared folder, for queries that go over them more than once."""
+    return graph.arcs_of(Scratch(spark, "graph").write(views.copart(spark, d), "edges"))
+
+
 def _trade_arcs(spark, d):
     return graph.arcs_of(views.nationtrade(spark, d))
 
@@ -126,14 +131,14 @@ query("mutual_pairs", f"{MUTUAL} select u, v, w from mutual")(lambda s, d: match
 
 @query("prune_matched", f"{MUTUAL}, gone as (select u as id from mutual union all select v from mutual) select u, v, w from g where u not in (select id from gone) and v not in (select id from gone)")
 def prune_matched(spark: SparkSession, d: str) -> DataFrame:
-    edges = views.copart(spark, d)
+    edges = Scratch(spark, "graph").write(views.copart(spark, d), "edges")
     pairs = matching.mutual(matching.pointers(graph.arcs_of(edges)))
     return matching.prune(edges, pairs.select(F.explode(F.array("u", "v")).alias("id")))
 
 
 @query("mate_weight_lookup", f"{MUTUAL} select u, v, w from mutual union all select v, u, w from mutual")
 def mate_weight_lookup(spark: SparkSession, d: str) -> DataFrame:
-    arcs = _copart_arcs(spark, d)
+    arcs = _stored_arcs(spark, d)
     return matching.mate_weights(matching.Matching(matching.mutual(matching.pointers(arcs)), 1).mates(), arcs)
 
 
@@ -242,21 +247,21 @@ def edge_partition_range_2d(spark: SparkSession, d: str) -> DataFrame:
 COMM = f"{arcs_sql(COPART)}, comm as (select distinct src as id, src % {COMMUNITIES} as c from arcs), k as materialized (select src as id, sum(w) as k from arcs group by 1)"
 query("singleton_communities", f"with {arcs_sql(COPART)} select distinct src as id, src as c from arcs")(lambda s, d: community.singletons(graph.vertices_of(_copart_arcs(s, d))))
 query("community_weights", f"with {COMM} select c, sum(k) as w from k join comm using (id) group by c")(
-    lambda s, d: (lambda a: community.community_weights(community.strengths_of(a), _mod_communities(a)))(_copart_arcs(s, d))
+    lambda s, d: (lambda a: community.community_weights(community.strengths_of(a), _mod_communities(a)))(_stored_arcs(s, d))
 )
 
 
 @query("community_weights_delta", f"with {COMM} select case when id % 3 = 0 then c + 1 else c end as c, sum(k) as w from k join comm using (id) group by 1")
 def community_weights_delta(spark: SparkSession, d: str) -> DataFrame:
-    arcs = _copart_arcs(spark, d)
+    arcs = _stored_arcs(spark, d)
     k, old = community.strengths_of(arcs), _mod_communities(arcs)
     new = old.select("id", F.when(F.col("id") % 3 == 0, F.col("c") + 1).otherwise(F.col("c")).alias("c"))
     return community.updated_weights(community.community_weights(k, old), k, old, new)
 
 
-query("vertex_community_weight", f"with {COMM} select src, c, sum(w) as w from arcs join comm on dst = id group by 1, 2")(lambda s, d: (lambda a: community.links(a, _mod_communities(a)))(_copart_arcs(s, d)))
+query("vertex_community_weight", f"with {COMM} select src, c, sum(w) as w from arcs join comm on dst = id group by 1, 2")(lambda s, d: (lambda a: community.links(a, _mod_communities(a)))(_stored_arcs(s, d)))
 query("vertex_distinct_communities", f"with {COMM} select src, count(distinct c) as n from arcs join comm on dst = id group by 1")(
-    lambda s, d: (lambda a: community.distinct_communities(a, _mod_communities(a)))(_copart_arcs(s, d))
+    lambda s, d: (lambda a: community.distinct_communities(a, _mod_communities(a)))(_stored_arcs(s, d))
 )
 query(
     "louvain_move",
@@ -268,13 +273,13 @@ best as (select id, min(c) as c, any_value(gain) as gain from (select *, rank()
 stay as (select own.id, own, round((coalesce(w, 0.0) - k * (total - k) / (2 * m)) / m, 9) as stay from own join cw on own.own = cw.c left join lk on lk.id = own.id and lk.c = own.own, t)
 select s.id, case when coalesce(round(b.gain - s.stay, 9) > 0, false) then b.c else s.own end as c, case when coalesce(round(b.gain - s.stay, 9) > 0, false) then round(b.gain - s.stay, 9) else 0.0 end as gain
 from stay s left join best b using (id)""".replace("g as materialized", "gr as materialized").replace("from g union all select v, u, w from g)", "from gr union all select v, u, w from gr)"),
-)(lambda s, d: (lambda a: community.move(a, _mod_communities(a)))(_copart_arcs(s, d)))
+)(lambda s, d: (lambda a: community.move(a, _mod_communities(a)))(_stored_arcs(s, d)))
 query(
     "modularity",
     f"with {COMM}, cw as (select c, sum(k) as w from k join comm using (id) group by c), i as (select sum(case when a.c = b.c then w else 0.0 end) as inside, sum(w) as t from arcs join comm a on src = a.id join comm b on dst = b.id) select round(inside / t - (select sum(w * w) from cw) / (t * t), 9) as modularity from i",
-)(lambda s, d: (lambda a: community.modularity(a, _mod_communities(a)))(_copart_arcs(s, d)))
+)(lambda s, d: (lambda a: community.modularity(a, _mod_communities(a)))(_stored_arcs(s, d)))
 query("coarsen_edges", f"with {COMM} select a.c as src, b.c as dst, sum(w) as w from arcs join comm a on src = a.id join comm b on dst = b.id group by 1, 2")(
-    lambda s, d: (lambda a: community.coarsen(a, _mod_communities(a)))(_copart_arcs(s, d))
+    lambda s, d: (lambda a: community.coarsen(a, _mod_communities(a)))(_stored_arcs(s, d))
 )
 query("renumber_communities", f"with {arcs_sql(COPART)}, comm as (select distinct src as id, 10 * (src % {COMMUNITIES}) as c from arcs) select id, dense_rank() over (order by c) - 1 as c from comm")(
     lambda s, d: community.renumbered(_mod_communities(_copart_arcs(s, d)).withColumn("c", 10 * F.col("c")))
@@ -345,7 +350,7 @@ def mtx_properties(spark: SparkSession, d: str) -> DataFrame:
 @query("csr_roundtrip", f"with {arcs_sql(COPART)} select * from arcs")
 def csr_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "csr")
-    csr.write_csr(_copart_arcs(spark, d), path)
+    csr.write_csr(_stored_arcs(spark, d), path)
     return csr.read_csr(spark, path)
 
 

@@ -97,7 +97,7 @@ def write_csr(arcs: DataFrame, path: str, vertices: int | None = None, pairs: bo
     spark = arcs.sparkSession
     scratch = Scratch(spark, "csr")
     if vertices is None:
-        vertices = (arcs.agg(F.max(F.greatest("src", "dst"))).first()[0] + 1) if not arcs.isEmpty() else 0
+        vertices = arcs.agg(F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0))).first()[0]
     degrees = spark.range(vertices).join(arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "id", "left").fillna(0)
     ends = running_sum(degrees, ["id"], "n", "end").select("id", F.col("end").cast("long").alias("end"))
     numbers = scratch.write(ends.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(_part(path, "1-offsets", "offset"), "name string, part int, n long"), "numbers")
