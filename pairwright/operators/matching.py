@@ -21,7 +21,9 @@ from pairwright.plans.storage import Scratch
 #: Weights below this are no candidates.
 LEAST_WEIGHT = -1.0
 #: Up to so many edges (24 bytes each) one task finishes greedily; the result is the same.
-FINISH_EDGES = 200_000
+FINISH_EDGES = 1_000_000
+#: Rounds of a task before it goes edge by edge, which long ascending paths need.
+TASK_ROUNDS = 40
 #: Matched vertices (8 bytes each) that are broadcast to prune the edges; more are joined by shuffle.
 BROADCAST_VERTICES = 1_000_000
 
@@ -51,21 +53,39 @@ def prune(edges: DataFrame, matched: DataFrame, few: bool = False) -> DataFrame:
     return left.join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v", "w")
 
 
+def greedy(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Positions of the edges that taking them by descending (weight, larger end, smaller end) keeps."""
+    order = np.lexsort((np.minimum(u, v), np.maximum(u, v), w))[::-1]
+    ids, ends = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    live, taken, keep = np.arange(len(u)), np.zeros(len(ids), bool), []
+    for _ in range(TASK_ROUNDS):
+        if not len(live):
+            break
+        best = np.full((2, len(ids)), len(u))
+        best[0][a[live][::-1]] = live[::-1]  # of an end's edges the first one stays
+        best[1][b[live][::-1]] = live[::-1]
+        best = best.min(0)
+        won = live[(best[a[live]] == live) & (best[b[live]] == live)]
+        keep.append(won)
+        taken[a[won]] = taken[b[won]] = True
+        live = live[~(taken[a[live]] | taken[b[live]])]
+    rest = []
+    for i, x, y in zip(live.tolist(), a[live].tolist(), b[live].tolist()):
+        if not (taken[x] or taken[y]):
+            taken[x] = taken[y] = True
+            rest.append(i)
+    return order[np.concatenate([*keep, np.array(rest, int)])]
+
+
 def _greedy(batches):
     """The rest of a graph in one task."""
     rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows)
-    u, v, w = (t.column(c).to_numpy() for c in ("u", "v", "w"))
-    taken, keep = set(), []
-    order = np.lexsort((np.minimum(u, v), np.maximum(u, v), w))[::-1]
-    for i, a, b in zip(order.tolist(), u[order].tolist(), v[order].tolist()):
-        if a not in taken and b not in taken:
-            taken.add(a)
-            taken.add(b)
-            keep.append(i)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (u, v, w)], ["u", "v", "w"])
+    if rows:
+        t = pa.Table.from_batches(rows)
+        columns = [t.column(c).to_numpy() for c in ("u", "v", "w")]
+        keep = greedy(*columns)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["u", "v", "w"])
 
 
 @dataclass

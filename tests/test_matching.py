@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright.operators import matching
 from pairwright.operators.graph import arcs_of, asymmetric, canonical, checked, csr_offsets, dense_ids, running_sum
 from pairwright.operators.matching import eligible, locally_dominant, mate_weights, mutual, pointers
 
@@ -79,6 +81,20 @@ def test_random_graphs_with_ties(spark, seed):
     assert len(met) == 2 * len(got) and all({a, b} & met for a, b, _ in rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 2, 40])
+def test_the_finish_of_one_task(monkeypatch, rounds):
+    monkeypatch.setattr(matching, "TASK_ROUNDS", rounds)
+    r = random.Random(rounds)
+    for n in (2, 5, 30, 200):
+        found = sorted({tuple(sorted(r.sample(range(n), 2))) for _ in range(3 * n)})
+        rows = [(*(p if r.random() < 0.5 else p[::-1]), r.choice([0.0, 1.0, 2.5])) for p in found]
+        u, v, w = (np.array(c) for c in zip(*rows))
+        keep = matching.greedy(u, v, w)
+        assert {(min(u[i], v[i]), max(u[i], v[i])) for i in keep.tolist()} == greedy(rows) and len(keep) == len(greedy(rows))
+    path = np.arange(5000)
+    assert len(matching.greedy(path, path + 1, path.astype(float))) == 2500
+
+
 def test_half_of_the_optimum():
     r = random.Random(5)
     for _ in range(40):
