@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,6 +74,30 @@ class Features(dict):
 _FEATURES = Features()
 
 
+class Relevant(dict):
+    """Word to those of its buckets that a model weighs; for most words none."""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= MEMO:
+            self.clear()
+        names = [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)]
+        got = tuple(i for i in (zlib.crc32(x.encode()) % BUCKETS for x in names) if i in self.weights)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+    def score(self, words: Counter) -> float:
+        counts: dict[int, int] = {}
+        for word, n in words.items():
+            for i in self[word]:
+                counts[i] = counts.get(i, 0) + n
+        return sum(self.weights[i] * math.log1p(n) for i, n in sorted(counts.items()))
+
+
 def vector(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: the logarithm of how often a feature occurs."""
     if not words:
@@ -111,7 +137,7 @@ class Rows:
         sizes = [len(i) for i, _ in parts]
         ids = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int32)
         values = np.concatenate([v for _, v in parts]) if parts else np.zeros(0, np.float32)
-        return Rows(ids, values.astype(np.float64), np.repeat(np.arange(len(parts)), sizes), len(parts))
+        return Rows(ids, values, np.repeat(np.arange(len(parts)), sizes), len(parts))
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.starts, w[self.ids] * self.values, self.n)
@@ -123,7 +149,7 @@ class Rows:
 def fit(x: Rows, y: np.ndarray, pairs: Rows, fair: float = FAIR, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by accelerated proximal steps: buckets and weights that are not zero, and the bias.
 
-    Besides the log loss it pays for absolute weights (few features stay), and ``fair`` times the
+    The rows are changed: what is too rare to count is dropped from them. Besides the log loss it pays for absolute weights (few features stay), and ``fair`` times the
     mean squared change of the score (before the logistic function) over ``pairs``, the differences
     between a row and its swapped twin.
     """
@@ -133,11 +159,13 @@ def fit(x: Rows, y: np.ndarray, pairs: Rows, fair: float = FAIR, rounds: int = R
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
 
-    def kept(rows: Rows) -> Rows:
+    def keep(rows: Rows) -> None:  # in place: the entries of rare features are not needed again
         own = often[rows.ids]
-        return Rows(place[rows.ids[own]], rows.values[own], rows.starts[own], rows.n)
+        rows.ids, rows.values, rows.starts = place[rows.ids[own]], rows.values[own].astype(np.float64), rows.starts[own]
 
-    x, pairs, width = kept(x), kept(pairs), len(used)
+    width = len(used)
+    keep(x)
+    keep(pairs)
     positive = float(y.mean()) if len(y) else 0.0
     bias = float(np.log((positive + 1e-3) / (1 - positive + 1e-3)))
     if not width:
@@ -189,7 +217,7 @@ def _featurise(batches):
 def _arrow_rows(ids, values) -> Rows:
     ids, values = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, values))
     sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
-    return Rows(ids.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64), np.repeat(np.arange(len(ids)), sizes), len(ids))
+    return Rows(ids.flatten().to_numpy(), values.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes), len(ids))
 
 
 def _fit_rows(fair: float):
@@ -198,9 +226,10 @@ def _fit_rows(fair: float):
         rows = pa.Table.from_batches(batches).sort_by("doc") if batches else None
         if rows is None or not rows.num_rows:
             return
-        x, twins = _arrow_rows(rows["ids"], rows["vals"]), rows["twins"].combine_chunks().flatten()
-        pairs = _arrow_rows(twins.field("ids"), twins.field("vals"))
-        used, w, b = fit(x, rows["toxic"].to_numpy().astype(float), pairs, fair)
+        y, twins = rows["toxic"].to_numpy().astype(float), rows["twins"].combine_chunks().flatten()
+        x, pairs = _arrow_rows(rows["ids"], rows["vals"]), _arrow_rows(twins.field("ids"), twins.field("vals"))
+        del rows, twins, batches
+        used, w, b = fit(x, y, pairs, fair)
         yield pa.RecordBatch.from_arrays([pa.array([used.tolist()]), pa.array([w.tolist()]), pa.array([b])], ["ids", "weights", "bias"])
 
     return run
@@ -212,10 +241,8 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def dense(self) -> np.ndarray:
-        w = np.zeros(BUCKETS)
-        w[self.ids] = self.weights
-        return w
+    def relevant(self) -> Relevant:
+        return Relevant(dict(zip(self.ids.tolist(), self.weights.tolist())))
 
 
 def held_out(id_col: Column) -> Column:
@@ -248,13 +275,11 @@ def toxic_score(text: Column, model: Model, spark: SparkSession) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        weights, bias = shared.value.dense(), shared.value.bias
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            ids, values = vector(words_of(text))
-            out[i] = bias + float(weights[ids] @ values)
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))))
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, bias = shared.value.relevant(), shared.value.bias
+        for texts in parts:
+            raw = np.array([bias + known.score(words_of(t)) for t in texts], float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -700, 700))))
 
     return of(text)
 
