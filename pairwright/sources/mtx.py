@@ -111,21 +111,26 @@ class MtxSource(DataSource):
 
 
 class MtxReader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, dense: bool = False):
         self.file = Joined(listed(options["path"]))
         self.header = read_header(self.file)
         self.mirror = str(options.get("mirror", "true")).lower() == "true"
         self.split = int(options.get("split", SPLIT_BYTES))
-        if not self.header.kind.sparse or self.header.kind.field == "complex":
-            raise ValueError("only sparse real, integer and pattern matrices are graphs")
+        if self.header.kind.field == "complex":
+            raise ValueError("complex matrices are no graphs")
+        if not self.header.kind.sparse and not dense:
+            raise ValueError("a dense matrix: use read_dense")
 
     def partitions(self) -> list[Bytes]:
         at = range(self.header.body, self.file.size, self.split)
         return [Bytes(a, min(a + self.split, self.file.size)) for a in at] or [Bytes(self.header.body, self.header.body)]
 
     def read(self, partition: Bytes):
-        """The lines that begin in the range."""
-        start, end = partition.start, partition.end
+        for lines in self.lines(partition.start, partition.end):
+            yield from self._arcs(lines)
+
+    def lines(self, start: int, end: int):
+        """The lines that begin in a range, some at a time."""
         rest = b""
         if start > self.header.body and start < end:
             back = self.file.read(start - 1, 1)
@@ -149,7 +154,7 @@ class MtxReader(DataSourceReader):
                     raise ValueError("a line is too long")
                 start -= len(rest) - cut
                 rest = rest[:cut]
-            yield from self._arcs(rest)
+            yield rest
 
     def _arcs(self, data: bytes):
         lines = [x for x in data.split(b"\n") if x.strip() and not x.lstrip().startswith(b"%")]
@@ -175,6 +180,52 @@ def read_mtx(spark: SparkSession, path: str, mirror: bool = True, split: int = S
     return spark.read.format("mtx").option("mirror", mirror).option("split", split).load(path)
 
 
+def _values(data: bytes) -> np.ndarray:
+    return np.array(b" ".join(x for x in data.split(b"\n") if not x.lstrip().startswith(b"%")).split()).astype(np.float64)
+
+
+def read_dense(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataFrame:
+    """Arcs of a matrix in array layout: column by column, of symmetric ones the lower half, which is mirrored.
+    Entries that are zero are no arcs.
+
+    Two passes over byte ranges: the first counts values, so that in the second each range knows its first index.
+    """
+    reader = MtxReader({"path": path, "split": split}, dense=True)
+    kind, n = reader.header.kind, reader.header.rows
+    ranges = spark.createDataFrame([(i, p.start, p.end) for i, p in enumerate(reader.partitions())], "part int, start long, end long")
+
+    def count(batches):
+        for batch in batches:
+            sizes = [sum(len(_values(x)) for x in reader.lines(a, b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["part", "n"])
+
+    sizes = dict(ranges.repartition("part").mapInArrow(count, "part int, n long").collect())
+    first = np.concatenate([[0], np.cumsum([sizes[i] for i in range(len(sizes))])]).tolist()
+    columns = np.arange(reader.header.columns, dtype=np.int64)
+    lower = 0 if kind.symmetry == "general" else 1
+    skew = kind.symmetry == "skew-symmetric"
+    starts = columns * n if not lower else columns * (n - skew) - columns * (columns - 1) // 2
+
+    def values(batches):
+        for batch in batches:
+            for part, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                at = first[part]
+                for data in reader.lines(a, b):
+                    w = _values(data)
+                    index = np.arange(at, at + len(w))
+                    at += len(w)
+                    column = np.searchsorted(starts, index, "right") - 1
+                    row = index - starts[column] + (column + skew if lower else 0)
+                    here = w != 0
+                    row, column, w = row[here], column[here], w[here]
+                    if lower:
+                        off = row != column
+                        row, column, w = np.append(row, column[off]), np.append(column, row[off]), np.append(w, (-1.0 if skew else 1.0) * w[off])
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(column), pa.array(w)], ["src", "dst", "w"])
+
+    return ranges.repartition("part").mapInArrow(values, ARCS)
+
+
 def properties(spark: SparkSession, path: str) -> DataFrame:
     """One row: rows, columns, and the entries there are after mirroring."""
     header = read_header(Joined(listed(path)))

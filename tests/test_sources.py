@@ -5,7 +5,7 @@ import pytest
 from pairwright.operators.graph import arcs_of
 from pairwright.sources.csr import read_csr, write_csr
 from pairwright.sources.dump import dump_communities
-from pairwright.sources.mtx import Kind, parse_banner, properties, read_mtx, write_mtx
+from pairwright.sources.mtx import Kind, parse_banner, properties, read_dense, read_mtx, write_mtx
 from tests.test_matching import GOLDEN, edges
 
 ROWS = sorted([(a, b, w) for a, b, w in GOLDEN] + [(b, a, w) for a, b, w in GOLDEN])
@@ -67,10 +67,24 @@ def test_bad_banners(text):
 def test_kinds(spark, tmp_path):
     assert Kind("coordinate", "complex", "hermitian").valid and not Kind("coordinate", "what", "general").valid
     (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 2 3\n")
-    with pytest.raises(Exception, match="only sparse"):
+    with pytest.raises(Exception, match="complex"):
         read_mtx(spark, str(tmp_path / "c.mtx")).count()
 
 
+@pytest.mark.parametrize("split", [1, 6, 1 << 20])
+@pytest.mark.parametrize("symmetry", ["general", "symmetric", "skew-symmetric"])
+def test_dense(spark, tmp_path, symmetry, split):
+    n, sign = 4, {"general": 0, "symmetric": 1, "skew-symmetric": -1}[symmetry]
+    m = [[(3 * i + 7 * j) % 5 - 1.5 if (i + j) % 3 else 0.0 for j in range(n)] for i in range(n)]
+    if sign:
+        m = [[m[i][j] if i > j else sign * m[j][i] if i < j else (m[i][i] if sign == 1 else 0.0) for j in range(n)] for i in range(n)]
+    stored = [m[i][j] for j in range(n) for i in range(n) if not sign or i > j or i == j and sign == 1]
+    (tmp_path / "d.mtx").write_text(f"%%MatrixMarket matrix array real {symmetry}\n% dense\n{n} {n}\n" + "\n".join(map(str, stored)) + "\n")
+    assert rows(read_dense(spark, str(tmp_path / "d.mtx"), split)) == sorted((i, j, m[i][j]) for i in range(n) for j in range(n) if m[i][j])
+    with pytest.raises(Exception, match="read_dense"):
+        read_mtx(spark, str(tmp_path / "d.mtx")).count()
+
+
 def test_dump(spark, tmp_path):
     comm = spark.createDataFrame([(2, 7), (0, 5), (1, 5)], "id long, c long")
     dump_communities(comm, f"{tmp_path}/d")
