@@ -159,10 +159,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id."""
-    keep = near_groups(docs, id_col, text_col, max_bits).filter("rep").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", row_key(id_col, text_col))
-    met = keyed.join(keep, keyed["__id"].eqNullSafe(keep["__id"]) & (keyed["__key"] == keep["__key"]), "left_semi")
-    return met.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    # Keys without nulls: the join then deals the texts by the very columns that the last step groups by, and they travel once.
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    keep = near_groups(docs, id_col, text_col, max_bits).filter("rep").select(name(F.col("doc_id")).alias("__id"), F.col("row_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__id", name(F.col(id_col).cast("long"))).withColumn("__key", row_key(id_col, text_col))
+    return keyed.join(keep, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
