@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import table, without
+from pairwright.llm.frames import sheltering, table, without
 
 WINDOW = 10
 #: Bytes of benchmark text that are searched for in one pass; more text takes more passes.
@@ -174,6 +174,7 @@ def _next_pass(tests, text_col: str):
     return run
 
 
+@sheltering
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words, n_hit, spans, items, longest``, which replace columns of those names.
 

@@ -182,3 +182,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 def op4_sorted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs, which is what the passes stand in for: on tables where recall is 1 the rows are equal.
+SQL4 = f"""
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+ok as materialized (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+                    and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as materialized (select a.vec_id as x, b.vec_id as y from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                   where list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+r(x, y) as (select x, y from p union select r.x, p.y from r join p on r.y = p.x),
+c as (select x, min(y) as low from r group by x), n as (select x, count(*) as n from p group by x)
+select vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join c on c.x = vec_id left join n on n.x = vec_id
+"""

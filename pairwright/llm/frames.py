@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +22,17 @@ def without(df: DataFrame, *own: str) -> DataFrame:
 def row_key(id_col: str, text_col: str):
     """64 bits of a row's id and text, to tell rows that repeat an id apart."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def sheltering(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Operators name their helper columns with two leading underscores; a table's own columns of such names
+    go by other names meanwhile."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = {c: f"sheltered_{i}_{c.strip('_')}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not names:
+            return operator(docs, *args, **kwargs)
+        return operator(docs.withColumnsRenamed(names), *args, **kwargs).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import table, without
+from pairwright.llm.frames import sheltering, table, without
 from pairwright.llm.sharding import hash60
 from pairwright.plans.storage import Scratch
 
@@ -87,6 +87,7 @@ def whole_weights(weights: dict[str, float], rest: float) -> dict[str, int]:
     return {s: int(x) for s, x in given.items()}
 
 
+@sheltering
 def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with ``mix_source, mix_block, mix_slot, mix_offset``, which replace columns of those names.
 

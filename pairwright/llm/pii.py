@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import table, without
+from pairwright.llm.frames import sheltering, table, without
 
 KINDS = ("email", "ip", "card", "phone")
 OWN = ["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"]
@@ -336,6 +336,7 @@ def pii_columns(text: Column, model: Model, spark: SparkSession) -> Column:
     return of(text)
 
 
+@sheltering
 def find_pii(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``docs`` with ``n_email, n_ip, n_card, n_phone`` (base spans), ``base_spans, spans`` (kind:start:end, by
     kind and start, in code points) and ``found`` (all spans in the order of the text, with probabilities).

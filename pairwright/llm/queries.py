@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm.decontaminate import SQL9, op9_suffix_array
-from pairwright.llm.embeddings import op4_sorted_projection
+from pairwright.llm.embeddings import SQL4, op4_sorted_projection
 from pairwright.llm.mixing import SQL1, op1_pfair_mix
 from pairwright.llm.pii import op6_boosted_candidates
 from pairwright.llm.ppm import op5_ppm_scores
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pfair_mix": SQL1, "op7_histogram_sort": SQL7, "op9_suffix_array": SQL9, "op10_warc_splits": SQL10}
+    return {"op1_pfair_mix": SQL1, "op4_sorted_projection": SQL4, "op7_histogram_sort": SQL7, "op9_suffix_array": SQL9, "op10_warc_splits": SQL10}

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import table, without
+from pairwright.llm.frames import sheltering, table, without
 from pairwright.plans.storage import Scratch
 
 SHARDS = 16
@@ -103,6 +103,7 @@ def part_of(points: list[tuple], levels: list[str]) -> Column:
     return out.cast("int")
 
 
+@sheltering
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, tolerance: float = 0.0, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``, which replace columns of those names.
 

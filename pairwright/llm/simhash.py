@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import connected_components, stars
-from pairwright.llm.frames import row_key, table
+from pairwright.llm.frames import row_key, sheltering, table
 from pairwright.plans.storage import Scratch
 
 SEED = 42
@@ -157,6 +157,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(of, "fp").select("doc_id", "row_key", "fp", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("lead_key"))).alias("rep"))
 
 
+@sheltering
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id."""
     # Keys without nulls: the join then deals the texts by the very columns that the last step groups by, and they travel once.
