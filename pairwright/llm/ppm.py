@@ -20,7 +20,7 @@ SYMBOLS = 255  # every byte but PAD
 #: Text bytes of a chunk: the rows whose n-grams and words are looked up together.
 CHUNK_BYTES = 48 << 20
 #: Text bytes that are turned into n-grams at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 OWN = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -222,6 +222,38 @@ def _pack(kind: int):
     return run
 
 
+class Lookup:
+    """Values by n-gram in an open hash table that numpy searches for many at once; every n-gram asked for is there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (3 * len(keys) // 2).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        rest = np.arange(len(keys))
+        at = self._home(keys)
+        while len(rest):
+            _, one = np.unique(at, return_index=True)  # of those that want a place one gets it, if it is free
+            one = one[self.keys[at[one]] == -1]
+            self.keys[at[one]], self.values[at[one]] = keys[rest[one]], values[rest[one]]
+            left = np.ones(len(rest), bool)
+            left[one] = False
+            rest, at = rest[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        out = self.values[at]
+        bad = np.flatnonzero(self.keys[at] != keys)
+        at, keys = at[bad], keys[bad]
+        while len(bad):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            hit = self.keys[at] == keys
+            out[bad[hit]] = self.values[at[hit]]
+            bad, at, keys = bad[~hit], at[~hit], keys[~hit]
+        return out
+
+
 def _score(total: int, distinct: int, slice_bytes: int = SLICE_BYTES):
     """Rows of a chunk in the order n-grams, words, documents: the first two are the tables for the third."""
     floor = math.log10(total + distinct + 1)
@@ -246,33 +278,35 @@ def _score(total: int, distinct: int, slice_bytes: int = SLICE_BYTES):
                         known.update(zip(names.split(b" "), np.frombuffer(n, np.int64).tolist()))
                 else:
                     if tables is None:
-                        k, p = np.concatenate(keys), np.concatenate(ps)
-                        order = np.argsort(k)
-                        tables, keys, ps = (k[order], p[order]), [], []
-                    yield from score(part, *tables, known)
-
-    def score(part, keys, ps, known):
-        logs = np.log10(np.arange(1, 1 << 16))
-        rows = []
+                        tables, keys, ps = Lookup(np.concatenate(keys), np.concatenate(ps)), [], []
+                    yield from score(part, tables, known)
+
+    def score(part, tables, known):
+        rows, texts, size = [], [], 0
         for i, held, text in zip(part.column("id").to_pylist(), part.column("held").to_pylist(), part.column("data").to_pylist()):
             words = [*tokens_of(text), b""]
-            c = np.fromiter((known[w] for w in words), np.int64, len(words))
-            small = c < len(logs)
-            base = logs[c[small]].sum() + np.log10(c[~small] + 1.0).sum() - floor * len(words)
-            total = 0.0
+            c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             joined = b" ".join(words[:-1])
-            # a long text goes through in slices, each with the bytes before it as context
-            for at in range(0, len(joined) + 1, slice_bytes):
-                q = _slice_keys(joined, at, slice_bytes)
-                q.sort()
-                total += float(ps[np.searchsorted(keys, q)].sum())
-            rows.append((i, held, len(words), int((c > 0).sum()), float(base), total))
-            if len(rows) == 4096:
+            rows.append([i, held, len(words), int((c > 0).sum()), float(np.log10(c + 1.0).sum()) - floor * len(words), 0.0])
+            if len(joined) < slice_bytes:
+                texts.append((rows[-1], joined))
+                size += len(joined)
+            else:  # a long text goes through in slices, each with the bytes before it as context
+                rows[-1][-1] = sum(float(tables(_slice_keys(joined, at, slice_bytes)).sum()) for at in range(0, len(joined) + 1, slice_bytes))
+            if size >= slice_bytes or len(rows) == 4096:
+                together(texts, tables)
                 yield out(rows)
-                rows = []
+                rows, texts, size = [], [], 0
         if rows:
+            together(texts, tables)
             yield out(rows)
 
+    def together(texts, tables):
+        if texts:
+            keys, sizes = grams([t for _, t in texts])
+            for (row, _), total in zip(texts, np.add.reduceat(tables(keys), np.cumsum(sizes) - sizes).tolist()):
+                row[-1] = total
+
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -280,8 +314,6 @@ def _score(total: int, distinct: int, slice_bytes: int = SLICE_BYTES):
 
 
 def _slice_keys(joined: bytes, at: int, size: int) -> np.ndarray:
-    if len(joined) < size:
-        return grams([joined])[0]
     end = min(len(joined) + 1, at + size)
     lead = joined[max(0, at - ORDER) : at]
     keys, _ = grams([lead + joined[at:end]])
@@ -312,7 +344,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), held.alias("held"), text.cast("binary").alias("data"))
-    dealt = rows.select("chunk", ~F.col("held"), "data").repartition(chunks, "chunk").sortWithinPartitions("chunk")
+    dealt = rows.select("chunk", ~F.col("held"), "data").repartitionById(chunks, "chunk").sortWithinPartitions("chunk")
     found = scratch.write(dealt.mapInArrow(_gather, "chunk int, key long, word binary, n long"), "found")
     _free(spark)
     grams_, words = found.filter("key is not null").select("chunk", "key", "n"), found.filter("word is not null").select("chunk", "word", "n")
@@ -334,7 +366,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tables = asked.unionByName(named).select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"))
     texts = rows.select("chunk", F.lit(2).alias("kind"), "data", F.lit(None).cast("binary").alias("vals"), "id", "held")
-    together = tables.unionByName(texts).repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
+    together = tables.unionByName(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind")
     out = together.mapInArrow(_score(known.n, known.v, slice_bytes), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = scratch.write(out, "scores")
     scratch.drop(asked, named)
