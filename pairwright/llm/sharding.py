@@ -103,7 +103,6 @@ def part_of(points: list[tuple], levels: list[str]) -> Column:
     return out.cast("int")
 
 
-@sheltering
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, tolerance: float = 0.0, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``, which replace columns of those names.
 
@@ -117,6 +116,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     repeat both id and text are told apart by their place in the input. An empty table gives an empty result.
     Without ``keep_text`` the texts are measured but neither exchanged nor returned.
     """
+    if key is None:
+        return _shard(docs, shards, id_col, text_col, None, tolerance, keep_text)
+    place = "place"
+    while place in {c.lower() for c in docs.columns}:
+        place += "_"
+    return _shard(docs.withColumn(place, key), shards, id_col, text_col, place, tolerance, keep_text).drop(place)
+
+
+@sheltering
+def _shard(docs: DataFrame, shards: int, id_col: str, text_col: str, place: str | None, tolerance: float, keep_text: bool) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -126,7 +135,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         *[F.col(c) for c in rest.columns],
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        (hash60(text) if key is None else key).alias("__k"),
+        (hash60(text) if place is None else F.col(place)).alias("__k"),
         hash60(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__g"),
         F.monotonically_increasing_id().alias("__m"),
     )
