@@ -74,6 +74,22 @@ def hashed(column: str, parts: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int")
 
 
+def local_vertices(ids: DataFrame, part: int, parts: int, column: str = "id") -> DataFrame:
+    """The vertices that hash to one of ``parts`` partitions."""
+    return ids.filter(hashed(column, parts) == part)
+
+
+def local_edges(arcs: DataFrame, rank: int, parts: int) -> DataFrame:
+    """The arcs whose ends put them on one rank of the process grid."""
+    placed = on_grid(arcs, hashed("src", parts), hashed("dst", parts), parts)
+    return placed.filter(F.col("rank") == rank).select(*arcs.columns)
+
+
+def by_hash(arcs: DataFrame, parts: int) -> DataFrame:
+    """Arcs dealt to ``parts`` partitions by both ends, so that a hub's arcs are spread."""
+    return arcs.repartition(parts, "src", "dst")
+
+
 def grid(parts: int) -> tuple[int, int]:
     """Rows and columns of the process grid: the largest divisor up to the root, and its counterpart."""
     rows = max(r for r in range(1, int(parts**0.5) + 1) if parts % r == 0)

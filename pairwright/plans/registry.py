@@ -11,7 +11,7 @@ from pairwright.functions.bits import high_bit, int_log2
 from pairwright.operators import coloring, community, generators, graph, matching, partition, stats
 from pairwright.plans import views
 from pairwright.plans.storage import Scratch, new_path
-from pairwright.sources import csr, dump, mtx
+from pairwright.sources import csr, dump, memory, mtx
 
 PARTS = 8
 GRID = 6
@@ -230,6 +230,12 @@ query("edge_partition_hash_2d", f"with {arcs_sql(TRADE)}, p as (select src, dst,
     lambda s, d: partition.on_grid(_trade_arcs(s, d).drop("w"), partition.hashed("src", GRID), partition.hashed("dst", GRID), GRID)
 )
 
+query("local_vertices", f"with {arcs_sql(COPART)} select distinct src as id from arcs where {MD5.format('src')} = 2")(lambda s, d: partition.local_vertices(graph.vertices_of(_copart_arcs(s, d)), 2, GRID))
+query("local_edges", f"with {arcs_sql(TRADE)}, p as (select src, dst, w, {MD5.format('src')} as mj, {MD5.format('dst')} as mn from arcs) select src, dst, w from p where (mn // {partition.grid(GRID)[0]}) * {partition.grid(GRID)[0]} + mj % {partition.grid(GRID)[0]} = 3")(
+    lambda s, d: partition.local_edges(_trade_arcs(s, d), 3, GRID)
+)
+query("edges_by_hash", f"with {arcs_sql(TRADE)} select src, dst, w from arcs")(lambda s, d: partition.by_hash(_trade_arcs(s, d), GRID))
+
 
 @query(
     "edge_partition_range_2d",
@@ -361,6 +367,15 @@ def partition_dump(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
 
 
+EXAMPLE = [(0, 1, 0.1), (0, 2, 5.1), (1, 2, 3.1), (1, 3, 2.1), (1, 4, 1.1), (2, 3, 4.1), (3, 5, 7.2), (4, 5, 3.2)]
+
+
+@query("matching_of_lists", "select * from (values (cast(0 as bigint), cast(2 as bigint), cast(5.1 as double)), (1, 4, 1.1), (3, 5, 7.2)) t(u, v, w)")
+def matching_of_lists(spark: SparkSession, d: str) -> DataFrame:
+    u, v, w = zip(*(EXAMPLE + [(b, a, x) for a, b, x in EXAMPLE]))
+    return matching.locally_dominant(graph.canonical(memory.from_lists(spark, u, v, w, symmetric=True))).pairs
+
+
 query("ba_generator")(lambda s, d: generators.scale_free(s, 2000, 3))
 query("ba_degree_sum", "select cast(2 * (3 + (2000 - 4) * 3) as bigint) as arcs, cast(2000 as bigint) as vertices, true as symmetric, true as positive")(
     lambda s, d: (

@@ -5,6 +5,7 @@ import pytest
 from pairwright.operators.graph import arcs_of
 from pairwright.sources.csr import read_csr, write_csr
 from pairwright.sources.dump import dump_communities
+from pairwright.sources.memory import from_lists
 from pairwright.sources.mtx import Kind, parse_banner, properties, read_dense, read_mtx, write_mtx
 from tests.test_matching import GOLDEN, edges
 
@@ -91,3 +92,13 @@ def test_dump(spark, tmp_path):
     assert [x.value for x in spark.read.text(f"{tmp_path}/d").coalesce(1).collect()] == ["5", "5", "7"]
     dump_communities(comm, f"{tmp_path}/e", spark.createDataFrame([(0, 2), (1, 1), (2, 0)], "id long, idx long"))
     assert [x.value for x in spark.read.text(f"{tmp_path}/e").coalesce(1).collect()] == ["7", "5", "5"]
+
+
+def test_lists(spark):
+    arcs = from_lists(spark, [7, 3, 7], [3, 9, 9], [1.0, 2.0, 3.0], renumber=True)
+    assert rows(arcs) == [(0, 2, 2.0), (1, 0, 1.0), (1, 2, 3.0)]
+    assert rows(from_lists(spark, [1], [2])) == [(1, 2, 1.0)]
+    with pytest.raises(ValueError):
+        from_lists(spark, [1], [2], symmetric=True)
+    with pytest.raises(ValueError):
+        from_lists(spark, [1, 2], [2])
