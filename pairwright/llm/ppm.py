@@ -18,7 +18,7 @@ ORDER = 5
 PAD, END = 0xFE, 0xFF
 SYMBOLS = 255  # every byte but PAD
 #: Text bytes of a chunk: the rows whose n-grams and words are looked up together.
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 32 << 20
 #: Text bytes that are turned into n-grams at a time.
 SLICE_BYTES = 1 << 20
 FOLDS, HELD_OUT = 7, 2
