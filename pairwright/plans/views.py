@@ -1,4 +1,8 @@
-"""Weighted graphs that lie in star-schema tables. All weights are whole numbers, so sums are exact in any order."""
+"""Weighted graphs that lie in star-schema tables. All weights are whole numbers, so sums are exact in any order.
+
+Tables that both grow with the data are joined by shuffle from the start (a hint): a broadcast of one would
+also leave the work to the few tasks that scan the other.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ def copart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts ordered together; the weight is the quantity of both. One shuffle by order: both sides of the self-join share it."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"))
     a, b = lines.alias("a"), lines.alias("b")
-    met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.p") < F.col("b.p")))
+    met = a.join(b.hint("merge"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.p") < F.col("b.p")))
     return _edges(met.select(F.col("a.p").alias("u"), F.col("b.p").alias("v"), (F.col("a.q") + F.col("b.q")).alias("w")))
 
 
@@ -26,7 +30,7 @@ def custsupp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers (even ids) and their suppliers (odd ids), weighted by quantity."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (2 * F.col("l_suppkey") + 1).alias("s"), F.col("l_quantity").alias("w"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (2 * F.col("o_custkey")).alias("c"))
-    met = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    met = lines.join(orders.hint("merge"), lines.l_orderkey == orders.o_orderkey)
     return _edges(met.select(F.least("c", "s").alias("u"), F.greatest("c", "s").alias("v"), "w"))
 
 
