@@ -7,8 +7,11 @@ single copy that can be lost.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +26,17 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="pairwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_root()
     return root.rstrip("/")
 
 
+@lru_cache(1)
+def _own_root() -> str:
+    folder = tempfile.mkdtemp(prefix="pairwright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/pairwright/{label}-{uuid.uuid4().hex}"
 
