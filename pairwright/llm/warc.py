@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import uuid
 import zlib
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.frames import table
 from pairwright.plans.storage import Scratch, new_path
+from pairwright.sources.files import opened
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are never revisits.
@@ -26,29 +25,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, offset long, record_type string, record_id string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
-@contextmanager
-def opened(path: str, mode: str):
-    """A file of the shared store: by plain IO where it is mounted, by Arrow's file systems elsewhere."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file" or not rest:
-        local = "/" + rest.lstrip("/") if rest else path
-        if mode == "wb":
-            os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(local, mode) as f:
-            yield f
-    else:
-        from pyarrow import fs
-
-        store, name = fs.FileSystem.from_uri(path)
-        if mode == "wb":
-            store.create_dir(os.path.dirname(name), recursive=True)
-        with store.open_output_stream(name, compression=None) if mode == "wb" else store.open_input_file(name) as f:
-            yield f
-
-
 def _line(value: str) -> str:
     """A header's value: what could end the line is percent-encoded."""
-    return re.sub(r"[\x00-\x20\x7f\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+    return re.sub(r"[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
 def record(kind: str, record_id: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None, level: int = 6) -> bytes:
