@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.plans.storage import Scratch
 
 
-def color(arcs: DataFrame, vertices: DataFrame, priority: Column | None = None) -> DataFrame:
+#: Up to so many arcs between vertices that wait (32 bytes each) one task colours the rest; the result is the same.
+FINISH_ARCS = 200_000
+
+
+def _finish(batches):
+    """Rows (id, p, dst, color): what is left, a row for each neighbour that a vertex waits for."""
+    waits: dict[tuple, list] = {}
+    colors: dict[int, int] = {}
+    for batch in batches:
+        for i, p, dst, c in zip(*(x.to_pylist() for x in batch.columns)):
+            own = waits.setdefault((p, i), [])
+            if dst is not None:
+                own.append(dst)
+                if c is not None:
+                    colors[dst] = c
+    new = {}
+    for (_, i), neighbors in sorted(waits.items(), reverse=True):
+        used = {colors[n] for n in neighbors}
+        new[i] = colors[i] = next(c for c in range(len(used) + 1) if c not in used)
+    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.int64())], ["id", "color"])
+
+
+def color(arcs: DataFrame, vertices: DataFrame, priority: Column | None = None, finish_arcs: int = FINISH_ARCS) -> DataFrame:
     """``id, color``: a proper colouring with at most the largest degree + 1 colours.
 
     A vertex whose neighbours of higher priority are all coloured takes the smallest colour that none of
     them has: the colouring that going through the vertices by descending priority would give. The
     priority (of ``id``) is a hash unless given; ties go to the larger id. Arcs must go both ways; self loops don't count.
-    Rounds are as many as the longest descending path, a logarithm for hashed priorities.
+    Rounds are as many as the longest descending path, a logarithm for hashed priorities; what is small enough, by
+    count, one task finishes.
     """
     spark = arcs.sparkSession
     scratch = Scratch(spark, "coloring")
-    rank = F.struct((F.xxhash64("id") if priority is None else priority).alias("p"), F.col("id").alias("i"))
-    ranked = vertices.select("id", rank.alias("r"))
+    weight = (F.xxhash64("id") if priority is None else priority).cast("long")
+    ranked = vertices.select("id", F.struct(weight.alias("p"), F.col("id").alias("i")).alias("r"))
     ends = arcs.filter("src <> dst").select("src", "dst").distinct()
     met = ends.join(ranked.select(F.col("id").alias("src"), F.col("r").alias("a")), "src").join(ranked.select(F.col("id").alias("dst"), F.col("r").alias("b")), "dst")
     waits = scratch.write(met.filter("b > a").select("src", "dst"), "waits")  # src waits for dst
@@ -27,6 +51,12 @@ def color(arcs: DataFrame, vertices: DataFrame, priority: Column | None = None)
     done = scratch.write(spark.createDataFrame([], "id long, color long"), "done")
     parts = []
     while not open_.isEmpty():
+        if waits.count() <= finish_arcs and open_.count() <= finish_arcs:
+            rest = open_.join(ranked.select("id", "r.p"), "id").join(waits.withColumnRenamed("src", "id"), "id", "left")
+            rest = rest.join(done.withColumnRenamed("id", "dst"), "dst", "left").select("id", "p", "dst", "color")
+            old, done = done, scratch.write(done.unionByName(rest.coalesce(1).mapInArrow(_finish, "id long, color long")), "done")
+            scratch.drop(old)
+            break
         known = waits.join(done.withColumnRenamed("id", "dst"), "dst", "left").groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("color").isNull()).alias("missing"), F.collect_set("color").alias("used"))
         ready = open_.join(known, "id", "left").filter("coalesce(missing, 0) = 0")
         used = F.coalesce("used", F.array().cast("array<bigint>"))

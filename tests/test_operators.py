@@ -54,14 +54,22 @@ def test_louvain_finds_two_cliques(spark):
     assert {frozenset(i for i in found if found[i] == c) for c in set(found.values())} == {frozenset(range(5)), frozenset(range(5, 10))}
 
 
-def test_coloring(spark, arcs):
-    got = coloring.color(arcs, spark.range(8))
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_coloring(spark, arcs, finish):
+    got = coloring.color(arcs, spark.range(8), finish_arcs=finish)
     x = coloring.conflicts(arcs, got).first()
     assert x.conflicts == 0 and x.colors <= 5 and got.count() == 8
-    by_id = {x.id: x.color for x in coloring.color(arcs, vertices_of(arcs), F.col("id")).collect()}
+    by_id = {x.id: x.color for x in coloring.color(arcs, vertices_of(arcs), F.col("id"), finish).collect()}
     assert by_id == {5: 0, 4: 1, 3: 1, 2: 0, 1: 2, 0: 1}
 
 
+def test_coloring_is_the_same_either_way(spark):
+    some = generators.scale_free(spark, 60, 2)
+    got = [sorted(map(tuple, coloring.color(some, spark.range(62), finish_arcs=n).collect())) for n in (0, 40, 10**6)]
+    assert got[0] == got[1] == got[2] and coloring.conflicts(some, spark.createDataFrame(got[0], "id long, color long")).first().conflicts == 0
+    assert coloring.color(some.filter("false"), spark.range(0)).count() == 0
+
+
 def test_ranges(spark, arcs):
     offsets = csr_offsets(arcs)
     ranges = lambda df: [(x.lo, x.hi) for x in df.orderBy("part").collect()]
