@@ -22,14 +22,18 @@ SEED = 20
 CHUNK = 1024
 
 
+def cell_bits(n: int, window: int = WINDOW) -> int:
+    """So many leading bits of a key name a cell; of evenly spread vectors a cell then holds half a window."""
+    return max(1, math.ceil(math.log2(max(2, 2 * n / window))))
+
+
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = 0.02) -> int:
-    """Passes after which a pair at the threshold has missed every window with probability ``miss`` at most.
+    """Passes after which a pair at the threshold has shared no cell with probability ``miss`` at most.
 
-    A pair is surely in one window if it agrees on the bits that single out about half a window of
-    n vectors; a bit agrees with probability 1 - angle / pi.
+    A bit agrees with probability 1 - angle / pi, however the other vectors lie; how many rows
+    share the cell does not matter, as the rows of a cell are all compared.
     """
-    bits = max(1, math.ceil(math.log2(max(2, 2 * n / window))))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    agree = (1 - math.acos(threshold) / math.pi) ** cell_bits(n, window)
     return max(4, math.ceil(math.log(miss) / math.log(1 - agree)))
 
 
@@ -67,14 +71,20 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _windows(threshold: float, window: int):
-    """Over rows sorted by (pass, dim, key): compare each with the ``window`` rows before it."""
+def _windows(threshold: float, window: int, bits: int):
+    """Over rows sorted by (pass, dim, key): compare each with the ``window`` rows before it. Rows
+    without ``a`` and ``b`` name a task's first and last cell, which another task may hold a part of."""
+
+    def cell(part, at):
+        return [pa.array([x], t) for x, t in ((None, "int64"), (None, "int64"), (part["pass"][at].as_py(), "int32"), (part["dim"][at].as_py(), "int32"), (part["key"][at].as_py() >> (BITS - bits), "int64"))]
 
     def run(batches):
-        rest = None
+        rest, names = None, ["a", "b", "pass", "dim", "cell"]
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = pa.Table.from_batches([batch.slice(at, 4096)]).select(["pass", "dim", "cls", "vec"])
+                part = pa.Table.from_batches([batch.slice(at, 4096)]).select(["pass", "dim", "key", "cls", "vec"])
+                if rest is None:
+                    yield pa.RecordBatch.from_arrays(cell(part, 0), names)
                 part = part if rest is None else pa.concat_tables([rest, part])
                 where = np.stack([part["pass"].to_numpy(), part["dim"].to_numpy()])
                 ids, new = part["cls"].to_numpy(), 0 if rest is None else rest.num_rows
@@ -87,18 +97,68 @@ def _windows(threshold: float, window: int):
                         near = near[rows[near + d] >= new]  # the other pairs were seen with the last slice
                         found.append(np.stack([ids[rows[near]], ids[rows[near + d]]]))
                 if found and (pairs := np.concatenate(found, 1)).shape[1]:
-                    yield stars(pairs[0], pairs[1])
+                    star = stars(pairs[0], pairs[1])
+                    yield pa.RecordBatch.from_arrays([*star.columns, *(pa.nulls(star.num_rows, t) for t in (pa.int32(), pa.int32(), pa.int64()))], names)
                 rest = part.slice(max(0, part.num_rows - window)).combine_chunks()
+        if rest is not None:
+            yield pa.RecordBatch.from_arrays(cell(rest, -1), names)
+
+    return run
+
+
+def _by_unit(names: tuple[str, ...], emit):
+    """Calls ``emit(rows, unit, starts)`` with whole units of rows that come sorted by ``names``."""
+
+    def unit_of(t: pa.Table) -> np.ndarray:
+        return np.array([t[c].to_numpy() for c in names])
+
+    def whole(t: pa.Table):
+        unit = unit_of(t)
+        yield from emit(t, unit, np.flatnonzero(np.append(True, (unit[:, 1:] != unit[:, :-1]).any(0))))
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+            if not t.num_rows:
+                continue
+            unit = unit_of(t)
+            last = int(np.flatnonzero((unit != unit[:, -1:]).any(0)).max(initial=-1)) + 1
+            if last:
+                yield from whole(t.slice(0, last))
+            rest = t.slice(last)
+        if rest is not None and rest.num_rows:
+            yield from whole(rest)
 
     return run
 
 
+def _within_cells(threshold: float):
+    """Over rows sorted by unit: stars that link vectors of one cell whose components differ so far."""
+
+    def emit(t: pa.Table, unit: np.ndarray, starts: np.ndarray):
+        own, comp, cls = t["c"].to_numpy(), t["comp"].to_numpy(), t["cls"].to_numpy()
+        for a, b in zip(starts, [*starts[1:], len(own)]):
+            if (comp[a:b] == comp[a]).all():
+                continue
+            x, (i, j) = unit_rows(matrix(t["vec"].slice(a, b - a))), unit[-2:, a]
+            left, right = np.flatnonzero(own[a:b] == i), np.flatnonzero(own[a:b] == j)
+            for at in range(0, len(left), 512):
+                rows = left[at : at + 512]
+                near = x[rows] @ x[right].T >= threshold
+                near &= comp[a:b][rows][:, None] != comp[a:b][right][None, :]
+                p, q = np.nonzero(near)
+                if len(p):
+                    yield stars(cls[a:b][rows[p]], cls[a:b][right[q]])
+
+    return _by_unit(("pass", "dim", "cell", "i", "j"), emit)
+
+
 def _count(threshold: float):
     """Over rows sorted by unit: each vector's links within its unit, counted with the copies of the other."""
 
-    def emit(t: pa.Table):
-        unit = np.array([t["comp"].to_numpy(), t["i"].to_numpy(), t["j"].to_numpy()])
-        starts = np.flatnonzero(np.append(True, (unit[:, 1:] != unit[:, :-1]).any(0)))
+    def emit(t: pa.Table, unit: np.ndarray, starts: np.ndarray):
         own, n, cls = t["c"].to_numpy(), t["n"].to_numpy(), t["cls"].to_numpy()
         total = np.zeros(len(own), np.int64)
         for a, b in zip(starts, [*starts[1:], len(own)]):
@@ -111,24 +171,9 @@ def _count(threshold: float):
                 total[a + rows] += near @ n[a:b][right]
                 if i != j:
                     total[a + right] += n[a:b][rows] @ near
-        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(total)], ["cls", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(total)], ["cls", "links"])
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
-            if not t.num_rows:
-                continue
-            unit = np.array([t["comp"].to_numpy(), t["i"].to_numpy(), t["j"].to_numpy()])
-            last = int(np.flatnonzero((unit != unit[:, -1:]).any(0)).max(initial=-1)) + 1
-            if last:
-                yield emit(t.slice(0, last))
-            rest = t.slice(last)
-        if rest is not None and rest.num_rows:
-            yield emit(rest)
-
-    return run
+    return _by_unit(("comp", "i", "j"), emit)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, window: int = WINDOW, passes: int | None = None, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
@@ -137,8 +182,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Equal vectors are one class with a count. Each pass sorts all classes by the bits of random
     hyperplanes, joined to one key, and verifies each with its neighbours in a window; the union
     over the passes gives components. The number of passes follows from the number of vectors.
-    Windows are bounded, so dense groups get an exact rest: links are counted between all members
-    of a component, in pairs of chunks, without emitting a pair.
+    Windows are bounded, so dense groups get an exact rest, in pairs of chunks and without emitting
+    a pair: cells (rows whose keys begin alike) that are larger than a window, or lie on a border
+    between tasks, are compared whole unless one component holds them already; and links are
+    counted between all members of a component.
 
     Vectors that are null, zero, empty, or hold null or non-finite components link with nothing
     (0 links, a component of their own); so do vectors of different lengths with each other.
@@ -157,20 +204,33 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = scratch.write(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     passes = passes or passes_for(n, threshold, window)
+    bits = cell_bits(n, window)
     hashed = classes.select("cls", "vec", F.size("vec").alias("dim"), F.posexplode(_hash(passes, seed)("vec")).alias("pass", "key"))
     ordered = hashed.repartitionByRange("pass", "dim", "key", "cls").sortWithinPartitions("pass", "dim", "key", "cls")
-    links = scratch.write(ordered.mapInArrow(_windows(threshold, window), "a long, b long").distinct(), "links")
-    found = scratch.write(connected_components(links), "found")
+    seen = scratch.write(ordered.mapInArrow(_windows(threshold, window, bits), "a long, b long, pass int, dim int, cell long").distinct(), "seen")
+    near = scratch.write(connected_components(seen.select("a", "b")), "near")
+
+    cell = ["pass", "dim", "cell"]
+    cells = hashed.select("cls", "pass", "dim", F.shiftright("key", BITS - bits).alias("cell")).join(near.withColumnRenamed("node", "cls"), "cls", "left")
+    cells = scratch.write(cells.select("cls", *cell, F.coalesce("component", "cls").alias("comp")), "cells")
+    apart = cells.groupBy(*cell).agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    border = seen.filter("cell is not null").select(*cell, F.lit(True).alias("border")).distinct()
+    whole = apart.join(F.broadcast(border), cell, "left").filter((F.col("size") > window + 1) | F.col("border")).select(*cell, F.ceil(F.col("size") / F.lit(chunk)).cast("int").alias("g"))
+    met = cells.join(whole, cell).withColumn("c", F.pmod(F.xxhash64("cls"), "g").cast("int")).join(classes.select("cls", "vec"), "cls")
+    other = F.expr("explode(transform(sequence(0, g - 1), x -> struct(least(c, x) as i, greatest(c, x) as j)))")
+    units = met.select(*cell, "c", "cls", "comp", "vec", other.alias("o")).select(*cell, "o.i", "o.j", "c", "cls", "comp", "vec")
+    dealt = units.repartition(*cell, "i", "j").sortWithinPartitions(*cell, "i", "j")
+    more = scratch.write(dealt.mapInArrow(_within_cells(threshold), "a long, b long").distinct(), "more")
+    found = scratch.write(connected_components(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "found")
 
     joined = scratch.write(classes.join(found.withColumnRenamed("node", "cls"), "cls").withColumnRenamed("component", "comp"), "joined")
     sizes = joined.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("g"), F.min("first").alias("low"))
     cut = joined.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("cls"), "g").cast("int"))
-    other = F.expr("explode(transform(sequence(0, g - 1), x -> struct(least(c, x) as i, greatest(c, x) as j)))")
     units = cut.select("comp", "c", "n", "cls", "vec", other.alias("o")).select("comp", "o.i", "o.j", "c", "n", "cls", "vec")
     dealt = units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     counted = dealt.mapInArrow(_count(threshold), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
     of = scratch.write(joined.join(sizes, "comp").join(counted, "cls").select("cls", "low", "links"), "of")
-    scratch.drop(links, found, joined)
+    scratch.drop(seen, near, cells, more, found, joined)
 
     # Copies meet their class again by the vector itself; a class with many copies is a skewed join that AQE splits.
     known = scratch.write(classes.join(of, "cls", "left").select("vec", "n", F.coalesce("low", "first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")), "known")

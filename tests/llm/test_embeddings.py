@@ -38,6 +38,22 @@ def test_links_and_components(spark, chunk):
     assert all(v.kept == (v.vec_id == v.component_id) for v in got.values())
 
 
+def test_pairs_in_a_dense_direction(spark):
+    """A third of the vectors lies around one direction, so far more of them share a key's first bits than a window holds."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(r.standard_normal((3000, 64)))
+    x[:1000] = unit(0.9**0.5 * unit(r.standard_normal(64)) + 0.1**0.5 * x[:1000])
+    off = r.standard_normal((150, 64))
+    off = unit(off - (off * x[:150]).sum(1, keepdims=True) * x[:150])
+    x = np.concatenate([x, 0.952 * x[:150] + (1 - 0.952**2) ** 0.5 * off]).astype(np.float32)
+    got = {v.vec_id: v.component_id for v in near_vectors(frame(spark, [(i, v.tolist(), 0, 1) for i, v in enumerate(x)]), window=16).collect()}
+    want = brute(list(range(len(x))), x)
+    linked = [i for i, (n, _) in want.items() if n]
+    assert len(linked) >= 300
+    assert np.mean([got[i] == want[i][1] for i in linked]) >= 0.97
+
+
 def test_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = df.collect()
