@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -67,25 +70,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # Candidates: generous patterns, whose spans may overlap each other.
-_CHAIN = re.compile(r"(?<![0-9])[+(]?[0-9]++(?:[ ()./_-]{1,2}[0-9]++){0,9}")
+_CHAIN = re.compile(r"[0-9]++(?:[ ()./_-]{1,2}[0-9]++)*+")
+_GROUP = re.compile("[0-9]++")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9])")
 _HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{2,63}){1,4}", re.I)
 _HINT = re.compile(r"\[at\]|\(at\)|\{at\}| dot |@ | @|\[dot\]|\(dot\)", re.I)
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
-    out = []
+def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if _HINT.search(text):
-        out += [("email", *m.span()) for m in _HIDDEN.finditer(text)]
+        yield from (("email", *m.span()) for m in _HIDDEN.finditer(text))
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _DOTTED.finditer(text)]
+        yield from (("ip", *m.span()) for m in _DOTTED.finditer(text))
         for m in _CHAIN.finditer(text):
-            n = len(_digits(m[0]))
+            yield from _runs(text, *m.span())
+
+
+def _runs(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Every run of neighbouring groups in a chain with as many digits as a phone or card: at most 19 runs a group."""
+    groups = deque()
+    for m in _GROUP.finditer(text, start, end):
+        groups.append(m.span())
+        while len(groups) > 19:
+            groups.popleft()
+        n = 0
+        for s, e in reversed(groups):
+            n += e - s
+            if n > 19:
+                break
+            s -= s > 0 and text[s - 1] in "+("
             if 7 <= n <= 15:
-                out.append(("phone", *m.span()))
+                yield "phone", s, m.end()
             if 13 <= n <= 19:
-                out.append(("card", *m.span()))
-    return out
+                yield "card", s, m.end()
+
+
+def candidates(text: str) -> list[tuple[str, int, int]]:
+    return list(_proposed(text))
 
 
 _NEAR = {
@@ -97,12 +118,19 @@ _NEAR = {
 _OTHER = re.compile(r"order|invoice|version|isbn|serial|ref|id|section|chapter|page|date|price|build|ticket|no\.|#|\$|€", re.I)
 
 
+# The group of digits next to a candidate and what stands between.
+_LEFT = re.compile(r"([0-9]+)([ ()./_-]{1,2})$")
+_RIGHT = re.compile(r"([ ()./_-]{1,2})([0-9]+)")
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context of a candidate."""
+    """Format and context of a candidate. Words before it count from where the numbers before it begin."""
     span, before, after = text[start:end], text[max(0, start - 28) : start], text[end : end + 12]
     digits, groups = _digits(span), re.findall("[0-9]+", span)
     sizes = [len(g) for g in groups] or [0]
     marks = re.sub("[A-Za-z0-9]", "", span)
+    words = text[max(0, start - 4096) : start].rstrip("0123456789 ()./_+-")[-28:]
+    left, right = _LEFT.search(before), _RIGHT.match(after)
     return [
         KINDS.index(kind),
         len(span),
@@ -128,11 +156,15 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         bool(re.search(r"[\[({](?:at|dot|\.)", span, re.I)),
         " at " in span.lower(),
         bool(re.search(r"(?:com|org|net|edu|info|io|de|fr|es)$", span, re.I)),
-        bool(_NEAR[kind].search(before)),
-        any(p.search(before) for k, p in _NEAR.items() if k != kind),
-        bool(_OTHER.search(before)),
+        bool(_NEAR[kind].search(words)),
+        any(p.search(words) for k, p in _NEAR.items() if k != kind),
+        bool(_OTHER.search(words)),
         before[-1:].isalnum() or before[-1:] in (".", "-", "/", "_", "$", "€"),
         after[:1].isalnum() or after[:2].rstrip().endswith(("%", "/", "_")),
+        len(left[1]) if left else 0,
+        bool(left) and left[2] in (" ", "  "),
+        len(right[2]) if right else 0,
+        bool(right) and right[1] in (" ", "  "),
     ]
 
 
@@ -238,6 +270,12 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
             return d if r.random() < 0.6 else r.choice(["-", " ", ".", "/"]).join(d[i : i + 4] for i in range(0, len(d), 4))
         return r.choice([digits(r.randint(7, 15)), f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}", f"{digits(2)}.{digits(2)}.20{digits(2)}", f"{digits(4)}/{digits(4)}", f"{digits(1)}.{digits(3)}.{digits(3)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(3)} {digits(3)}", " ".join(digits(r.randint(1, 3)) for _ in range(5))])
 
+    def beside(kind):
+        """A neighbour: another number of the kind if that is personal data, or a date, a count or a time."""
+        if kind and r.random() < 0.6:
+            return kind, true(kind)
+        return "", r.choice([f"{r.randint(1, 12):02}/{r.randint(1, 28):02}/20{digits(2)}", f"20{digits(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{digits(2)}", digits(r.randint(1, 4))])
+
     out = []
     while len(out) < n:
         kind, good = r.choice(KINDS), r.random() < 0.5
@@ -249,13 +287,26 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         else:
             lead = r.choice([r.choice(other), "", *(cue[r.choice(KINDS)] if r.random() < 0.15 else [])])
         head = f"{say()} {lead}{r.choice([' ', ': ', ' = ', ' is '])}" if lead else f"{say()} "
-        text = f"{head}{span}{r.choice(['', '.', ',', ' '])} {say()}"
-        for k, s, e in candidates(text):
-            inside = s < len(head) + len(span) and len(head) < e
-            if k == kind and inside:
-                out.append((text, k, s, e, int(good)))
-                break
-    return out
+        pieces = [(kind if good else "", span)]
+        if kind in ("card", "phone"):  # numbers may stand next to each other
+            for side in (0, 1):
+                while r.random() < 0.35:
+                    pieces.insert(len(pieces) * side, beside(kind if good else ""))
+        real, text = {}, head
+        for k, piece in pieces:
+            if k:
+                real[k, len(text), len(text) + len(piece)] = True
+            text += piece + r.choice([" ", " ", " ", "  "])
+        text, last = text.rstrip(" "), len(text.rstrip(" "))
+        text += f"{r.choice(['', '.', ',', ' '])} {say()}"
+        inside = [c for c in candidates(text) if c[0] == kind and c[1] < last and len(head) < c[2]]
+        if kind in ("email", "ip"):
+            out += [(text, *c, int(good)) for c in inside[:1]]
+        else:
+            exact, parts = [c for c in inside if c in real], [c for c in inside if c not in real]
+            out += [(text, *c, 1) for c in r.sample(exact, min(2, len(exact)))]
+            out += [(text, *c, 0) for c in r.sample(parts, min(1 + (not good), len(parts)))]
+    return out[:n]
 
 
 @dataclass
@@ -301,17 +352,19 @@ def find(text: str | None, model: Model) -> tuple[list[tuple], list[tuple]]:
     if not text:
         return [], []
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
-    clear = lambda s, e: not any(a < e and s < b for a, b in taken)
-    rest = [c for c in candidates(text) if clear(*c[1:])]
-    if not rest:
-        return base, []
-    p = model.probabilities(np.array([features(text, *c) for c in rest], float))
+    taken = bytearray(len(text))
+    for _, s, e in base:
+        taken[s:e] = b"\1" * (e - s)
+    clear = lambda s, e: taken.find(1, s, e) < 0
+    rest, likely = (c for c in _proposed(text) if clear(*c[1:])), []
+    while part := list(islice(rest, 4096)):  # bounds the memory that a text full of digits takes
+        p = model.probabilities(np.array([features(text, *c) for c in part], float))
+        likely += [(q, c) for q, c in zip(p.tolist(), part) if q >= model.thresholds[c[0]]]
     added = []
-    for q, (kind, s, e) in sorted(zip(p.tolist(), rest), key=lambda x: (-x[0], x[1][1], x[1][0])):
-        if q >= model.thresholds[kind] and clear(s, e):
+    for q, (kind, s, e) in sorted(likely, key=lambda x: (-x[0], x[1][1], x[1][0])):
+        if clear(s, e):
             added.append((kind, s, e, q))
-            taken.append((s, e))
+            taken[s:e] = b"\1" * (e - s)
     return base, added
 
 

@@ -58,6 +58,34 @@ def test_added_spans(text):
     assert not base and len(added) == 1
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call 407-555-7710 212-555-0199 now", ["407-555-7710", "212-555-0199"]),
+        ("phone (407) 555-7710 12/05/2024", ["(407) 555-7710"]),
+        ("tel " + "407-555-7710 212-555-0199 " * 40, ["407-555-7710", "212-555-0199"] * 40),
+        ("card 4111.1111.1111.1111 (407) 555-7710", ["4111.1111.1111.1111"]),
+    ],
+)
+def test_numbers_next_to_each_other(text, want):
+    base, added = find(text, trained())
+    assert not base and [text[s:e] for _, s, e, _ in sorted(added, key=lambda x: x[1])] == want
+
+
+def test_every_run_of_groups_is_proposed():
+    assert {"12 (407) 555-7710", "(407) 555-7710", "555-7710"} <= {text[s:e] for text in ["room 12 (407) 555-7710"] for _, s, e in candidates(text)}
+    r = random.Random(2)
+    for _ in range(300):
+        groups = ["9" * r.randint(1, 21 if r.random() < 0.1 else 5) for _ in range(r.randint(1, 30))]
+        text, ends = "", []
+        for g in groups:
+            text += r.choice([" ", "-", ". "]) + g
+            ends.append((len(text) - len(g), len(text)))
+        want = {(kind, ends[i][0], ends[j][1]) for i in range(len(groups)) for j in range(i, len(groups)) for kind, low, high in (("phone", 7, 15), ("card", 13, 19)) if low <= sum(map(len, groups[i : j + 1])) <= high}
+        got = [c for c in candidates(text) if c[0] != "ip"]
+        assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("text", ["order 20240101123456", "version 1.2.3", "the thing at the dot of day", "ref 9915074521380047 of", "on 2024-01-02 10", "", None, "no digits"])
 def test_clean_texts(text):
     assert find(text, trained()) == ([], [])
