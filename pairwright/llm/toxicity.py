@@ -240,6 +240,7 @@ class Model:
     ids: np.ndarray
     weights: np.ndarray
     bias: float
+    taught: bool = True  # by a labelled row at least
 
     def relevant(self) -> Relevant:
         return Relevant(dict(zip(self.ids.tolist(), self.weights.tolist())))
@@ -266,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float
     got = rows.coalesce(1).mapInArrow(_fit_rows(fair), "ids array<long>, weights array<double>, bias double").first()
     scratch.drop(chosen, rows)
     if got is None:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, taught=False)
     return Model(np.array(got.ids, np.int64), np.array(got.weights), got.bias)
 
 

@@ -43,6 +43,14 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stored):
     assert sum(labels[i] == 0 for i in gone) <= 0.01 * len(labels)
 
 
+@pytest.mark.parametrize("rows", [[], [(1, 1, None), (None, 1, 1), (77, 1, 1)]])
+def test_without_usable_labels_all_documents_stay(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a clean text", "en", "src1", 12), (2, "", "en", "src1", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = stage("toxicity")(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(x.doc_id for x in got.collect()) == [1, 2]
+
+
 def test_near_duplicates_equal_brute_force(stored):
     before = {x.doc_id: brute_print(x.text) for x in stored["toxicity"].collect()}
     ids = sorted(before)
