@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.llm.warc import find_archives, read_warc, record, write_warc
+from pairwright.llm.warc import READ_BYTES, find_archives, op10_warc_splits, read_warc, record, write_warc
 
 SCHEMA = "page_id long, url string, html string, digest string, payload int"
 
@@ -31,10 +31,10 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("split", [1, 7, 300, 10_000, 1 << 25])
+@pytest.mark.parametrize("split", [1, 50, 10_000, 1 << 25])
 def test_round_trip(spark, tmp_path, split):
     if split == 1:
-        rows = pages()[:8]
+        rows = pages()[3:4]
     else:
         rows = pages()
     manifest = write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(2), f"file://{tmp_path}/w")
@@ -44,22 +44,104 @@ def test_round_trip(spark, tmp_path, split):
     assert listed.count() == manifest.count() and listed.agg(F.sum("bytes")).first() == manifest.agg(F.sum("bytes")).first()
 
 
+def own(i, n=None):
+    data = bytes([97 + i % 26]) * (i if n is None else n)
+    return record("response", str(i), "u", data, hashlib.sha256(data).hexdigest(), None)
+
+
+def ids(df):
+    return sorted(int(x.record_id) for x in df.collect() if x.record_type != "damaged")
+
+
 def test_false_magic_and_junk(spark, tmp_path):
     """Magic numbers that start no record: stored members of other content, broken members, junk between members."""
-    own = [record("response", str(i), "u", bytes([120]) * i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(20)]
     other = zlib.compress(b"not a record" * 50, 0, 31)
-    broken = own[3][:-6] + b"\0\0\0\0\0\0"
-    data = b"".join(x + other + b"\x1f\x8b\x08" + broken + b"\x1f\x8b\x08\x00junk" for x in own)
+    broken = own(3)[:-6] + b"\0\0\0\0\0\0"
+    data = b"".join(own(i) + other + b"\x1f\x8b\x08" + broken + b"\x1f\x8b\x08\x00junk" for i in range(20))
     (tmp_path / "a.warc.gz").write_bytes(data)
-    for split in (5, 64, 1000, 10**6):
-        got = read_warc(find_archives(spark, f"file://{tmp_path}"), split)
-        assert sorted(int(x.record_id) for x in got.collect()) == list(range(20))
+    for split in (64, 1000, 10**6):
+        got = read_warc(find_archives(spark, f"file://{tmp_path}"), split, damaged="report")
+        assert ids(got) == list(range(20))
+        bad = [(x.offset, x.damage) for x in got.collect() if x.record_type == "damaged"]
+        assert len(bad) == len(set(bad)) == 40 and sum("does not decode" in x for _, x in bad) == 20
+    with pytest.raises(Exception, match="no record begins"):
+        read_warc(find_archives(spark, f"file://{tmp_path}")).collect()
+
+
+def damage(kind):
+    parts = [own(i, 500 + i) for i in range(10)]
+    if kind == "cut":
+        return b"".join(parts)[:-30], set(range(9))
+    if kind == "cut at a border":
+        return b"".join(parts[:9]), set(range(9))
+    if kind == "cut in a header":
+        return b"".join(parts[:9]) + parts[9][:6], set(range(9))
+    bad = bytearray(parts[4])
+    bad[{"flipped magic": 1, "flipped early": 12, "flipped late": len(bad) - 20, "flipped sum": len(bad) - 6}[kind]] ^= 0x55
+    return b"".join([*parts[:4], bytes(bad), *parts[5:]]), set(range(10)) - {4}
+
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+@pytest.mark.parametrize("kind", ["cut", "cut at a border", "cut in a header", "flipped magic", "flipped early", "flipped late", "flipped sum"])
+def test_damage_is_an_error_or_a_row(spark, tmp_path, kind, split):
+    data, left = damage(kind)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    whole = len(b"".join(own(i, 500 + i) for i in range(10)))
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", whole)], "path string, bytes long")
+    got = read_warc(files, split, damaged="report")
+    assert set(ids(got)) == left and got.filter("record_type = 'damaged' and damage is not null").count() >= 1
+    assert got.filter("record_type <> 'damaged' and damage is not null").count() == 0
+    with pytest.raises(Exception, match="at byte"):
+        read_warc(files, split).collect()
+    if "border" not in kind:
+        with pytest.raises(Exception, match="at byte"):
+            read_warc(find_archives(spark, f"file://{tmp_path}"), split).collect()
+
+
+def test_many_ranges_are_many_tasks_under_the_adaptive_planner(spark, tmp_path):
+    (tmp_path / "m.warc.gz").write_bytes(b"".join(own(i, 300) for i in range(400)))
+    files = find_archives(spark, f"file://{tmp_path}")
+    size = files.first().bytes
+    got = read_warc(files, size // 500, with_payload=False)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    tasks = got.select("record_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(int(x.record_id) for x in tasks) == list(range(400)) and len({x.task for x in tasks}) > 200
+
+
+def test_a_record_larger_than_a_read_and_its_range(spark, tmp_path):
+    r = random.Random(5)
+    noise = r.randbytes(READ_BYTES * 5)  # does not compress, and holds the magic number by chance and on purpose
+    noise = noise[: READ_BYTES * 2] + b"\x1f\x8b\x08" * 50 + noise[READ_BYTES * 2 :]
+    big = record("response", "7", None, noise, hashlib.sha256(noise).hexdigest(), None, level=0)
+    (tmp_path / "b.warc.gz").write_bytes(own(1) + big + own(9))
+    for split in (50_000, READ_BYTES, 1 << 25):
+        got = read_warc(find_archives(spark, f"file://{tmp_path}"), split).collect()
+        assert sorted((int(x.record_id), x.payload_bytes) for x in got) == [(1, 1), (7, len(noise)), (9, 9)]
+        assert next(bytes(x.payload) for x in got if x.record_id == "7") == noise
+
+
+def test_pages_with_planted_copies(spark, tmp_path):
+    """The tables hold no two equal pages; here most are copies, one group a third of all rows."""
+    r = random.Random(8)
+    texts = ["<p>" + "".join(r.choice("abcdé ") for _ in range(r.randint(90, 300))) for _ in range(60)]
+    rows = [(i, "u", texts[0] if i % 3 == 0 else r.choice(texts), "d", 1) for i in range(900)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(str(x.page_id), x.record_type, x.payload_bytes, x.payload_digest, None if x.refers_to is None else str(x.refers_to)) for x in op10_warc_splits(spark, str(tmp_path)).collect()]
+    want = [x[:5] for x in expected(rows)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(x[1] == "revisit" for x in got) > 500
 
 
-def test_empty_table_and_damage(spark, tmp_path):
+def test_empty_table_and_a_wrong_digest(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     assert read_warc(write_warc(none, f"file://{tmp_path}/e")).count() == 0
     (tmp_path / "d").mkdir()
     (tmp_path / "d/x.warc.gz").write_bytes(record("response", "1", "u", b"payload", "0" * 64, None))
     with pytest.raises(Exception, match="digest"):
         read_warc(find_archives(spark, f"file://{tmp_path}/d")).collect()
+    (tmp_path / "d/y.warc.gz").write_bytes(b"")
+    assert read_warc(find_archives(spark, f"file://{tmp_path}/d").filter("path like '%y.warc.gz'")).count() == 0
+    with pytest.raises(ValueError):
+        read_warc(find_archives(spark, f"file://{tmp_path}/d"), damaged="ignore")
