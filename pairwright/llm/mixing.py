@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pairwright.llm.sharding import hash60
 from pairwright.plans.storage import Scratch
 
 BLOCK_BYTES = 64 << 10
-#: Largest sum of the whole-number weights, and so the length of the longest period.
-MOST_PERIOD = 100_000
+#: Slots that one phase's period may have, where so many blocks are there at all: 8 MB of the broadcast schedule.
+MOST_PERIOD = 1_000_000
 #: Rows of a source that are numbered in one group, about.
 CELL_ROWS = 2048
 REST = "(rest)"
@@ -22,8 +24,8 @@ OWN = ["mix_source", "mix_block", "mix_slot", "mix_offset"]
 WEIGHTS = {f"src{i}": 20 - i for i in range(20)}
 
 
-def pfair(weights: list[int]) -> list[int]:
-    """Which source each slot of one period goes to.
+def pfair(weights: list[int], slots: int | None = None) -> list[int]:
+    """Which source each slot of one period goes to, or of its first ``slots``.
 
     Block j of source i (from 0) is released at floor(j * Q / w) and due at ceil((j + 1) * Q / w), Q being
     the sum of the weights. Each slot takes the released block that is due first, of equal ones that of
@@ -34,7 +36,7 @@ def pfair(weights: list[int]) -> list[int]:
     due: list[tuple[int, int]] = []
     release = [(0, i) for i in range(len(weights))]
     count, out = [0] * len(weights), []
-    for slot in range(period):
+    for slot in range(period if slots is None else min(slots, period)):
         while release and release[0][0] <= slot:
             _, i = heapq.heappop(release)
             heapq.heappush(due, (-(-(count[i] + 1) * period // weights[i]), i))
@@ -57,13 +59,17 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
         names = sorted(left)
         common = math.gcd(*(weights[s] for s in names))
         w = [weights[s] // common for s in names]
-        order, period = pfair(w), sum(w)
+        period, total = sum(w), sum(left.values())
+        if min(period, total) > MOST_PERIOD:
+            raise ValueError(f"the weights of {names} need a period of {period} slots; at most {MOST_PERIOD} can be scheduled")
         slots: list[list[int]] = [[] for _ in names]
-        for slot, i in enumerate(order):
+        for slot, i in enumerate(pfair(w, total)):  # no more of a period than there are blocks
             slots[i].append(slot)
-        length = min((left[s] - 1) // w[i] * period + slots[i][(left[s] - 1) % w[i]] + 1 for i, s in enumerate(names))
+        # The slot behind a source's last block; in a part of a period a source may not come to it.
+        ends = [(left[s] - 1) // w[i] * period + slots[i][(left[s] - 1) % w[i]] + 1 for i, s in enumerate(names) if (left[s] - 1) % w[i] < len(slots[i])]
+        length = min(ends)
         for i, s in enumerate(names):
-            n = length // period * w[i] + sum(x < length % period for x in slots[i])
+            n = length // period * w[i] + bisect_left(slots[i], length % period)
             if n:
                 out.append({"source": s, "first": first[s], "last": first[s] + n - 1, "base": base, "period": period, "weight": w[i], "slots": slots[i]})
             first[s] += n
@@ -75,16 +81,16 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
 
 
 def whole_weights(weights: dict[str, float], rest: float) -> dict[str, int]:
-    """Weights as whole numbers; those that aren't are rounded to thousandths of the sum. Zero and less is an error."""
+    """The same ratios as the smallest whole numbers. A fraction is what its shortest decimal says (0.1 is a tenth); none is
+    ever rounded. Weights must be above zero and finite."""
     given = {**weights, REST: rest}
-    if any(not x > 0 for x in given.values()):
+    if any(not 0 < x < math.inf for x in given.values()):
         raise ValueError("weights must be above zero")
-    if any(x != int(x) for x in given.values()) or sum(given.values()) > MOST_PERIOD:
-        total = sum(given.values())
-        given = {s: max(1, round(1000 * len(given) * x / total)) for s, x in given.items()}
-    if sum(given.values()) > MOST_PERIOD:
-        raise ValueError(f"too many sources for a period of {MOST_PERIOD}")
-    return {s: int(x) for s, x in given.items()}
+    exact = {s: Fraction(str(x)) for s, x in given.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: x // common for s, x in whole.items()}
 
 
 @sheltering
@@ -96,7 +102,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1, blo
     sources share the slots as :func:`pfair` and :func:`phases` say, so at every slot each source is less
     than one block from its target for as long as all last. No row is dropped or repeated. Sorting
     by ``mix_slot, mix_offset`` gives the mixture. Sources that ``weights`` does not name, null too,
-    are one source with weight ``rest``.
+    are one source with weight ``rest``. Weights count exactly; ratios that would need a period of more than a
+    million slots, in a table of more blocks than that, are an error.
 
     A hot source is no group of its own: its rows are numbered in cells of a hash, and the cells' sums
     come first. The schedule is a table of at most (sources + 1) squared rows, of a size that the
@@ -148,7 +155,8 @@ def _place(rows, merged, tops, shift, weights, block_bytes, columns, scratch):
 
 
 def mixed(docs: DataFrame, weights: dict[str, float], **more) -> DataFrame:
-    """``docs``, all of it, sorted into the mixture."""
+    """``docs``, all of it, sorted into the mixture. Null texts, ids and sources, repeated rows and an empty table are
+    as in :func:`mix_sources`; columns of any name stay."""
     return mix_sources(docs, weights, **more).orderBy("mix_slot", "mix_offset").select(*docs.columns)
 
 

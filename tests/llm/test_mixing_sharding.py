@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from pairwright.llm.mixing import REST, mix_sources, mixed, pfair, phases
+from pairwright.llm.mixing import REST, mix_sources, mixed, pfair, phases, whole_weights
 from pairwright.llm.sharding import shard_documents
 
 SCHEMA = "doc_id long, source string, text string, slot string, __note int"
@@ -52,6 +52,37 @@ def test_phases_are_the_step_by_step_schedule():
     assert got == want and sorted(got.values()) == list(range(63))
 
 
+@pytest.mark.parametrize("weights,rest", [({"a": 150_000, "b": 1}, 1), ({"a": 0.1, "b": 0.25}, 0.65), ({"a": 1e-3, "b": 1 / 3}, 2)])
+def test_weights_are_never_rounded(weights, rest):
+    whole, given = whole_weights(weights, rest), {**weights, REST: rest}
+    exact = {s: Fraction(str(x)) for s, x in given.items()}
+    assert all(whole[s] * exact[t] == whole[t] * exact[s] for s in whole for t in whole)
+    blocks = {"a": 4000, "b": 300, REST: 500}
+    total, share = sum(exact.values()), {}
+    plan = phases(whole, blocks)
+    for p in plan:
+        if p["base"]:
+            continue
+        for b in range(p["first"], p["last"] + 1):
+            share[p["base"] + (b - p["first"]) // p["weight"] * p["period"] + p["slots"][(b - p["first"]) % p["weight"]]] = p["source"]
+    seen = Counter()
+    for t in range(len(share)):  # slots have no gap, and as long as all last each is within a block of its target
+        seen[share[t]] += 1
+        assert all(abs(seen[s] - (t + 1) * exact[s] / total) < 1 for s in given)
+    assert max(seen[s] == n for s, n in blocks.items())
+    assert sum(p["last"] - p["first"] + 1 for p in plan) == sum(blocks.values())
+
+
+def test_weights_beyond_any_schedule_are_an_error():
+    weights = whole_weights({"a": 1_500_001, "b": 1_000_003}, 1)
+    assert phases(weights, {"a": 400, "b": 300, REST: 5})
+    with pytest.raises(ValueError, match="period"):
+        phases(weights, {"a": 4_000_000, "b": 300, REST: 5})
+    for bad in (0, -1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            whole_weights({"a": bad}, 1)
+
+
 def test_mix_blocks_and_order(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     got = mix_sources(df, {"a": 5, "b": 2, "c": 1}, block_bytes=500).collect()
