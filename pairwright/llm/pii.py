@@ -73,22 +73,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _CHAIN = re.compile(r"[0-9]++(?:[ ()./_-]{1,2}[0-9]++)*+")
 _GROUP = re.compile("[0-9]++")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9])")
-_HIDDEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{2,63}){1,4}", re.I)
+_HIDDEN = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}| at |@) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{2,}+)++", re.I
+)
 _HINT = re.compile(r"\[at\]|\(at\)|\{at\}| dot |@ | @|\[dot\]|\(dot\)", re.I)
 
 
-def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
+def _proposed(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Candidates, each with the words before it."""
     if _HINT.search(text):
-        yield from (("email", *m.span()) for m in _HIDDEN.finditer(text))
+        yield from (("email", *m.span(), _lead(text, m.start())) for m in _HIDDEN.finditer(text))
     if _DIGIT.search(text):
-        yield from (("ip", *m.span()) for m in _DOTTED.finditer(text))
+        yield from (("ip", *m.span(), _lead(text, m.start())) for m in _DOTTED.finditer(text))
         for m in _CHAIN.finditer(text):
             yield from _runs(text, *m.span())
 
 
-def _runs(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+def _lead(text: str, start: int) -> str:
+    """The last words before a place; numbers that stand in between don't count."""
+    return text[max(0, start - 4096) : start].rstrip("0123456789 ()./_+-")[-28:]
+
+
+def _runs(text: str, start: int, end: int) -> Iterator[tuple[str, int, int, str]]:
     """Every run of neighbouring groups in a chain with as many digits as a phone or card: at most 19 runs a group."""
-    groups = deque()
+    groups, lead = deque(), _lead(text, start)
     for m in _GROUP.finditer(text, start, end):
         groups.append(m.span())
         while len(groups) > 19:
@@ -100,13 +108,13 @@ def _runs(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
                 break
             s -= s > 0 and text[s - 1] in "+("
             if 7 <= n <= 15:
-                yield "phone", s, m.end()
+                yield "phone", s, m.end(), lead
             if 13 <= n <= 19:
-                yield "card", s, m.end()
+                yield "card", s, m.end(), lead
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    return list(_proposed(text))
+    return [x[:3] for x in _proposed(text)]
 
 
 _NEAR = {
@@ -118,21 +126,32 @@ _NEAR = {
 _OTHER = re.compile(r"order|invoice|version|isbn|serial|ref|id|section|chapter|page|date|price|build|ticket|no\.|#|\$|€", re.I)
 
 
+@lru_cache(4096)
+def _context(words: str) -> tuple[tuple[bool, ...], bool]:
+    """Of the words before some numbers: which kinds they speak of, and whether of other things."""
+    return tuple(bool(_NEAR[k].search(words)) for k in KINDS), bool(_OTHER.search(words))
+
+
 # The group of digits next to a candidate and what stands between.
 _LEFT = re.compile(r"([0-9]+)([ ()./_-]{1,2})$")
 _RIGHT = re.compile(r"([ ()./_-]{1,2})([0-9]+)")
 
 
-def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context of a candidate. Words before it count from where the numbers before it begin."""
-    span, before, after = text[start:end], text[max(0, start - 28) : start], text[end : end + 12]
+def features(text: str, kind: str, start: int, end: int, lead: str | None = None) -> tuple[float, ...]:
+    """Format and context of a candidate."""
+    return _features(kind, text[start:end], text[max(0, start - 28) : start], text[end : end + 12], _lead(text, start) if lead is None else lead)
+
+
+@lru_cache(1 << 14)
+def _features(kind: str, span: str, before: str, after: str, words: str) -> tuple[float, ...]:
     digits, groups = _digits(span), re.findall("[0-9]+", span)
     sizes = [len(g) for g in groups] or [0]
     marks = re.sub("[A-Za-z0-9]", "", span)
-    words = text[max(0, start - 4096) : start].rstrip("0123456789 ()./_+-")[-28:]
     left, right = _LEFT.search(before), _RIGHT.match(after)
-    return [
-        KINDS.index(kind),
+    own = KINDS.index(kind)
+    near, other = _context(words)
+    return (
+        own,
         len(span),
         len(digits),
         len(groups),
@@ -156,16 +175,16 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         bool(re.search(r"[\[({](?:at|dot|\.)", span, re.I)),
         " at " in span.lower(),
         bool(re.search(r"(?:com|org|net|edu|info|io|de|fr|es)$", span, re.I)),
-        bool(_NEAR[kind].search(words)),
-        any(p.search(words) for k, p in _NEAR.items() if k != kind),
-        bool(_OTHER.search(words)),
+        near[own],
+        any(near[:own]) or any(near[own + 1 :]),
+        other,
         before[-1:].isalnum() or before[-1:] in (".", "-", "/", "_", "$", "€"),
         after[:1].isalnum() or after[:2].rstrip().endswith(("%", "/", "_")),
         len(left[1]) if left else 0,
         bool(left) and left[2] in (" ", "  "),
         len(right[2]) if right else 0,
         bool(right) and right[1] in (" ", "  "),
-    ]
+    )
 
 
 @dataclass
@@ -348,7 +367,10 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
 
 def find(text: str | None, model: Model) -> tuple[list[tuple], list[tuple]]:
     """Base spans, and those that the model adds: (kind, start, end, probability). Added spans
-    overlap neither base spans nor each other; of overlapping ones the likelier counts."""
+    overlap neither base spans nor each other; of overlapping ones the likelier counts.
+
+    The work is linear in the text: a digit group ends at most 19 candidates, and whether a candidate is clear of
+    the spans so far is a look at its own characters."""
     if not text:
         return [], []
     base = base_spans(text)
@@ -356,10 +378,11 @@ def find(text: str | None, model: Model) -> tuple[list[tuple], list[tuple]]:
     for _, s, e in base:
         taken[s:e] = b"\1" * (e - s)
     clear = lambda s, e: taken.find(1, s, e) < 0
-    rest, likely = (c for c in _proposed(text) if clear(*c[1:])), []
+    rest, likely = (c for c in _proposed(text) if clear(*c[1:3])), []
     while part := list(islice(rest, 4096)):  # bounds the memory that a text full of digits takes
-        p = model.probabilities(np.array([features(text, *c) for c in part], float))
-        likely += [(q, c) for q, c in zip(p.tolist(), part) if q >= model.thresholds[c[0]]]
+        rows, at = np.unique(np.array([features(text, *c) for c in part], float), axis=0, return_inverse=True)
+        p = model.probabilities(rows)[at]
+        likely += [(q, c[:3]) for q, c in zip(p.tolist(), part) if q >= model.thresholds[c[0]]]
     added = []
     for q, (kind, s, e) in sorted(likely, key=lambda x: (-x[0], x[1][1], x[1][0])):
         if clear(s, e):
@@ -393,8 +416,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", model: Model | None = None
     """``docs`` with ``n_email, n_ip, n_card, n_phone`` (base spans), ``base_spans, spans`` (kind:start:end, by
     kind and start, in code points) and ``found`` (all spans in the order of the text, with probabilities).
 
-    These replace columns of their names. Null and empty texts have no spans. A narrow pass over whole
-    texts; the model is small and fixed, so equal texts have equal spans wherever they are.
+    These replace columns of their names; all others stay. Null and empty texts have no spans. A narrow pass over whole
+    texts; the model is small and fixed, so equal texts have equal spans wherever they are, and repeated rows the same. Of
+    equally likely overlapping candidates the first counts. An empty table gives an empty result.
     """
     rest = without(docs, *OWN, "found")
     own = rest.withColumn("__pii", pii_columns(F.col(text_col), model or trained(), docs.sparkSession))
@@ -402,7 +426,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", model: Model | None = None
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """``docs`` with every span in the text replaced by its kind in brackets. Spans that overlap become one, named after the first."""
+    """``docs`` with every span in the text replaced by its kind in brackets. Spans that overlap become one, named after the first.
+    Null texts stay null and empty ones empty; ids are not read, repeated rows stay, other columns are as they were, and an
+    empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
 
     @F.pandas_udf("string")
