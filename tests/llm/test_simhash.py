@@ -1,12 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import connected_components
-from pairwright.llm.simhash import blocks_for, block_masks, close_links, dedupe, near_groups
+from pairwright.llm.simhash import _forest, bits_apart, block_masks, blocks_for, close_links, cut_for, dedupe, near_groups, similar_groups
 
 SCHEMA = "doc_id long, text string, fp string, __note int"
 
@@ -92,6 +93,71 @@ def test_connected_components(spark, one_task):
     assert {x.node: x.component for x in connected_components(df, one_task).collect()} == {k: v for k, v in low.items() if k in met}
 
 
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted(seed=5, bases=200):
+    """Texts of many lengths, each with copies that differ in more and more words, and one group with a third of the rows."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    out = [None, "", " \t", "one", "two words", "one two", "One"]
+    for b in range(bases):
+        base = [r.choice(vocab) for _ in range(r.choice([6, 20, 60, 150, 400, 1500 if b % 20 == 0 else 100]))]
+        out.append(" ".join(base))
+        for changes in r.sample(range(1 + len(base) // 12), min(4, 1 + len(base) // 12)):
+            near = list(base)
+            for _ in range(changes):
+                near[r.randrange(len(near))] = r.choice(vocab)
+            out.append(" ".join(near).replace("w1", "W1"))
+    big = [r.choice(vocab) for _ in range(200)]
+    for _ in range(len(out) // 2):
+        near = list(big)
+        near[r.randrange(200)] = r.choice(vocab)
+        out.append(" ".join(near))
+    return list(enumerate(out))
+
+
+def test_similar_texts_against_brute_force(spark):
+    rows = planted()
+    sets = {i: shingles(t) for i, t in rows}
+    got = {x.doc_id: x for x in similar_groups(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)).collect()}
+    alike = {(a, b): j for a in sets for b in sets if a < b and (j := jaccard(sets[a], sets[b])) > 0.1}
+    together = lambda low, high: [got[a].component_id == got[b].component_id for (a, b), j in alike.items() if low <= j < high]
+    assert all(together(1.0, 2)) and sum(together(0.9, 1)) >= 0.995 * len(together(0.9, 1)) > 100
+    assert len(together(0.8, 0.9)) > 100 and sum(together(0.8, 0.9)) >= 0.95 * len(together(0.8, 0.9))
+    low = brute_components(list(sets), [p for p, j in alike.items() if j >= 0.65])  # nobody is linked to what is not alike
+    assert all(low[i] == low[x.component_id] for i, x in got.items())
+    assert all(x.rep == (i == x.component_id) for i, x in got.items())
+    kept = dedupe(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, x in got.items() if x.rep)
+
+
+def test_more_rows_take_longer_blocks_and_more_of_them():
+    for n in (10, 5000, 10**6, 10**9):
+        bits, blocks = cut_for(n)
+        assert (1 - (1 - bits_apart(0.8)) ** bits) ** blocks <= 0.02 or not bits
+        assert bits <= 40 and blocks <= 150 and bits * 2 <= 64
+
+
+def test_forest_connects_what_all_pairs_connect():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, (3, 16), dtype=np.uint64)
+    rows = np.concatenate([base[r.integers(0, 3, 900)] ^ (np.uint64(1) << r.integers(0, 64, (900, 16), dtype=np.uint64)), r.integers(0, 2**63, (700, 16), dtype=np.uint64)])
+    rows = rows[r.permutation(len(rows))]
+    a, b = _forest(rows, 60, 40)
+    far = np.bitwise_count(rows[:, None, :] ^ rows[None]).sum(2)
+    assert (far[a, b] <= 40).all() and len(a) < 256 * len(rows)
+    x, y = np.nonzero(np.triu(far <= 40, 1))
+    ids = list(range(len(rows)))
+    assert brute_components(ids, list(zip(a.tolist(), b.tolist()))) == brute_components(ids, list(zip(x.tolist(), y.tolist())))
+
+
 def test_empty_tables_nulls_and_repeats(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_groups(none).count() == 0 and dedupe(none).columns == none.columns
@@ -101,6 +167,7 @@ def test_empty_tables_nulls_and_repeats(spark):
     kept = dedupe(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "__note"]
     assert sorted((x.doc_id or -1) for x in kept.collect()) == [-1, 3, 9]
+    assert similar_groups(none).count() == 0
     same = spark.createDataFrame([(5, "a b c d", "c", 3)] * 3, SCHEMA)
     assert dedupe(same).count() == 1
     assert dedupe(none.withColumn("x", F.lit(1))).count() == 0
