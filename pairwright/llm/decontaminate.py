@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import sheltering, table, without
+from pairwright.llm.frames import sheltering, sheltering_also, table, without
 
 WINDOW = 10
+OWN = ["n_words", "n_hit", "spans", "items", "longest"]
 #: Bytes of benchmark text that are searched for in one pass; more text takes more passes. A pass takes about 40 times as
 #: much of the driver's memory and of each Python worker's, at most.
 BLOCK_BYTES = 4 << 20
@@ -281,8 +282,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     buckets = 16 * max(1, -(-total // block_bytes))
     bucket = F.pmod(F.xxhash64("item", "text"), F.lit(buckets))
     sizes = {x.b: x.n for x in wanted.groupBy(bucket.alias("b")).agg(F.sum("size").alias("n")).collect()}
-    own = ["n_words", "n_hit", "spans", "items", "longest"]
-    out = without(docs, *own)
+    out = without(docs, *OWN)
     kept = out.columns
     for i, (low, high) in enumerate(_blocks([sizes.get(b, 0) for b in range(buckets)], block_bytes)):
         part = wanted.filter(bucket.between(low, high)).select("item", "text")
@@ -308,6 +308,7 @@ def _blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+@sheltering_also(*OWN)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """``docs`` less those with a hit. Documents without words stay, and all of them with an empty benchmark; repeated rows
     stay or go together. Columns of any name stay; an empty table gives an empty result."""

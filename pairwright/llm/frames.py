@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +24,22 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def sheltering_also(*own: str) -> Callable:
+    """Like :func:`sheltering`, for operators that return a table's own columns alone: those that are called as what the
+    work adds meanwhile go by other names, too."""
+    return partial(_sheltering, frozenset(own))
+
+
 def sheltering(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Operators name their helper columns with two leading underscores; a table's own columns of such names
     go by other names meanwhile."""
+    return _sheltering(frozenset(), operator)
+
 
+def _sheltering(own: frozenset, operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @wraps(operator)
     def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
-        names = {c: f"sheltered_{i}_{c.strip('_')}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        names = {c: f"sheltered_{i}_{c.strip('_')}" for i, c in enumerate(docs.columns) if c.startswith("__") or c.lower() in own}
         if not names:
             return operator(docs, *args, **kwargs)
         return operator(docs.withColumnsRenamed(names), *args, **kwargs).withColumnsRenamed({v: k for k, v in names.items()})

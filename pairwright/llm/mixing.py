@@ -10,7 +10,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import sheltering, table, without
+from pairwright.llm.frames import sheltering, sheltering_also, table, without
 from pairwright.llm.sharding import hash60
 from pairwright.plans.storage import Scratch
 
@@ -154,6 +154,7 @@ def _place(rows, merged, tops, shift, weights, block_bytes, columns, scratch):
     return met.select(*columns, "mix_source", "mix_block", slot.alias("mix_slot"), (F.col("__start") - F.col("mix_block") * block_bytes).alias("mix_offset"))
 
 
+@sheltering_also(*OWN)
 def mixed(docs: DataFrame, weights: dict[str, float], **more) -> DataFrame:
     """``docs``, all of it, sorted into the mixture. Null texts, ids and sources, repeated rows and an empty table are
     as in :func:`mix_sources`; columns of any name stay."""

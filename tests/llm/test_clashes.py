@@ -25,7 +25,8 @@ def test_columns_of_any_name(spark, docs):
     model = Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     for out in (dedupe(docs), mixed(docs, {"src0": 1}), decontaminate(docs, items), redact(docs)):
         assert out.columns == docs.columns
-        out.collect()
+        own = {tuple(x[n] for n in NAMES) for x in docs.collect()}
+        assert {tuple(x[n] for n in NAMES) for x in out.collect()} <= own
     assert dedupe(docs).count() == 2 and decontaminate(docs, items).count() == 1
     for out in (mix_sources(docs, {"src0": 1}), shard_documents(docs, 4), find_matches(docs, items), find_pii(docs, model=trained()), count_tokens(docs, public_tokenizers.path(VOCABULARY)), score_toxicity(docs, model)):
         rows = out.collect()

@@ -1,7 +1,7 @@
-import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairwright.llm.mixing import WEIGHTS, mix_sources
@@ -95,10 +95,56 @@ def test_run_gives_the_last_stage(spark, stored):
     assert rows(corpus_pipeline.run(spark, SF)) == rows(stored["sharding"])
 
 
-def test_sharding_rows_of_no_file(spark):
-    r = random.Random(1)
-    docs = spark.createDataFrame([(i, "t" * r.randint(0, 50), "en", "src1", 1) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert stage("sharding")(spark, docs, SF).count() == 50
-    none = docs.filter("false")
+ODD = [
+    (1, "a clean text of some words here", "en", "src1", 31, "x"),
+    (1, "a clean text of some words here", "en", "src1", 31, "x"),
+    (None, "a clean text of some words here", None, None, None, None),
+    (2, None, None, None, None, None),
+    (3, "", "en", "src2", 0, "y"),
+    (None, None, "en", "src2", 0, "y"),
+    (4, "another text that is like no other in this table", "de", "nowhere", 5, "z"),
+    (5, "tie one two three four five six", "de", "src0", 5, "z"),
+    (6, "long " * 50_000 + "end", "de", "src0", 5, "z"),
+]
+
+
+def odd(spark, extra=True):
+    """Nulls, empty and long texts, rows and ids that repeat, and columns with the operators' own names."""
+    names = ["mix_slot", "size", "__k", "fp", "score", "n_hit"]
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, note string")
+    for n in names if extra else ():
+        docs = docs.withColumn(n, F.col("note"))
+    return docs
+
+
+@pytest.mark.parametrize("name, left", [("toxicity", [1, 1, 2, 3, 4, 5, 6, None, None]), ("near_duplicates", [1, 2, 4, 5, 6]), ("decontamination", [1, 1, 2, 3, 4, 5, 6, None, None]), ("mixing", [1, 1, 2, 3, 4, 5, 6, None, None])])
+def test_stages_on_odd_rows(spark, name, left):
+    docs = odd(spark)
+    got = stage(name)(spark, docs, SF)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert sorted((x.doc_id for x in rows), key=lambda i: (i is None, i)) == left
+    assert {tuple(x) for x in rows} <= {tuple(x) for x in docs.collect()}
+
+
+def test_sharding_odd_rows(spark):
+    docs = odd(spark, extra=False)
+    got = stage("sharding")(spark, docs, SF)
+    rows = got.collect()
+    assert got.columns[: len(docs.columns)] == docs.columns and len(rows) == len(ODD)
+    by_shard = {}
+    for x in rows:
+        by_shard.setdefault(x.shard, []).append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values())
+
+
+def test_shards_do_not_depend_on_how_rows_are_stored(spark, stored, tmp_path):
+    stored["mixing"].repartition(5).write.option("maxRecordsPerFile", 40).parquet(f"file://{tmp_path}/again")
+    place = lambda df: sorted((x.doc_id, x.shard, x.slot) for x in df.collect())
+    assert place(stage("sharding")(spark, spark.read.parquet(f"file://{tmp_path}/again"), SF)) == place(stored["sharding"])
+
+
+def test_empty_tables(spark):
+    none = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     for name, f in corpus_pipeline.STAGES:
         assert f(spark, none, SF).count() == 0, name
