@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.operators.graph import arcs_of, canonical, dense_ids
-from pairwright.plans.storage import Scratch
+from pairwright.plans.storage import Scratch, temporary
 
 DIGITS = 9
 
@@ -43,32 +43,38 @@ def strengths_of(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
 
 
-def move(arcs: DataFrame, comm: DataFrame) -> DataFrame:
+def move(arcs: DataFrame, comm: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
     """``id, c, gain``: one synchronous move of all vertices to where modularity gains most, if it gains.
 
     The gain of moving to c is (w(v, c) - k W_c / 2m) / m, of staying (w(v, own) without loops - k (W_own - k) / 2m) / m.
     Of equal gains (to 9 digits) the smallest community counts.
+
+    ``strengths``, the weighted degrees, may be given where they are known. What vertices weigh into communities is aggregated
+    once, and one more aggregation by vertex finds both the best other community and what binds a vertex to its own.
     """
-    strengths = strengths_of(arcs)
-    whole = strengths.agg((F.sum("k") * 0.5).alias("m"))
-    weights = community_weights(strengths, comm).withColumnRenamed("w", "total")
-    own = comm.withColumnRenamed("id", "src").withColumnRenamed("c", "own").join(strengths.withColumnRenamed("id", "src"), "src")
-    into = links(arcs.filter("src <> dst"), comm).join(own, "src").join(weights, "c").join(F.broadcast(whole))
-    gain = F.round((F.col("w") - F.col("k") * F.col("total") / (2 * F.col("m"))) / F.col("m"), DIGITS)
-    best = into.filter("c <> own").groupBy("src").agg(F.min(F.struct((-gain).alias("g"), F.col("c"))).alias("best"))
-    loops = into.filter("c = own").select("src", F.col("w").alias("inside"))
-    at_home = own.join(weights.withColumnRenamed("c", "own"), "own").join(F.broadcast(whole)).join(loops, "src", "left").join(best, "src", "left")
-    stay = F.round((F.coalesce("inside", F.lit(0.0)) - F.col("k") * (F.col("total") - F.col("k")) / (2 * F.col("m"))) / F.col("m"), DIGITS)
+    spark = arcs.sparkSession
+    scratch = Scratch(spark, "move")
+    strengths = scratch.write(strengths_of(arcs), "strengths") if strengths is None else strengths
+    m = (strengths.agg(F.sum("k")).first()[0] or 0.0) * 0.5
+    home = scratch.write(comm.join(strengths, "id").select("id", F.col("c").alias("own"), "k"), "home")
+    weights = home.groupBy("own").agg(F.sum("k").alias("total"))
+    into = links(arcs.filter("src <> dst"), home.select("id", F.col("own").alias("c"))).join(weights.withColumnRenamed("own", "c"), "c")
+    met = home.join(into.withColumnRenamed("src", "id"), "id", "left")
+    gain = F.round((F.col("w") - F.col("k") * F.col("total") / F.lit(2 * m)) / F.lit(m), DIGITS)
+    away = F.when(F.col("c") != F.col("own"), F.struct((-gain).alias("g"), F.col("c")))
+    inside = F.coalesce(F.sum(F.when(F.col("c") == F.col("own"), F.col("w"))), F.lit(0.0))
+    best = met.groupBy("id", "own", "k").agg(F.min(away).alias("best"), inside.alias("inside")).join(weights, "own")
+    stay = F.round((F.col("inside") - F.col("k") * (F.col("total") - F.col("k")) / F.lit(2 * m)) / F.lit(m), DIGITS)
     better = F.round(-F.col("best.g") - stay, DIGITS)
     wins = F.coalesce(better > 0, F.lit(False))
-    return at_home.select(F.col("src").alias("id"), F.when(wins, F.col("best.c")).otherwise(F.col("own")).alias("c"), F.when(wins, better).otherwise(F.lit(0.0)).alias("gain"))
+    return best.select("id", F.when(wins, F.col("best.c")).otherwise(F.col("own")).alias("c"), F.when(wins, better).otherwise(F.lit(0.0)).alias("gain"))
 
 
-def modularity(arcs: DataFrame, comm: DataFrame) -> DataFrame:
+def modularity(arcs: DataFrame, comm: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
     """One row: the sum over vertices of w(v, own) / 2m less the sum over communities of (W / 2m) squared."""
     ends = arcs.join(comm.withColumnRenamed("id", "src").withColumnRenamed("c", "a"), "src").join(comm.withColumnRenamed("id", "dst").withColumnRenamed("c", "b"), "dst")
     inside = ends.agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("w"))), F.lit(0.0)).alias("inside"), F.sum("w").alias("mass2"))
-    square = community_weights(strengths_of(arcs), comm).agg(F.sum(F.col("w") * F.col("w")).alias("square"))
+    square = community_weights(strengths_of(arcs) if strengths is None else strengths, comm).agg(F.sum(F.col("w") * F.col("w")).alias("square"))
     q = F.col("inside") / F.col("mass2") - F.col("square") / (F.col("mass2") * F.col("mass2"))
     return inside.join(F.broadcast(square)).select(F.round(q, DIGITS).alias("modularity"))
 
@@ -97,26 +103,38 @@ def louvain(arcs: DataFrame, threshold: float = 1e-6, sweeps: int = 10, phases:
     """
     spark = arcs.sparkSession
     scratch = Scratch(spark, "louvain")
+    alone = lambda df: scratch.write(singletons(df.select(F.explode(F.array("src", "dst")).alias("id")).distinct()), "comm")
     now = scratch.write(arcs, "arcs")
-    result = scratch.write(singletons(now.select(F.explode(F.array("src", "dst")).alias("id")).distinct()), "comm")
+    result = alone(now)
     for _ in range(phases):
-        comm = scratch.write(singletons(now.select(F.explode(F.array("src", "dst")).alias("id")).distinct()), "comm")
-        start = best = modularity(now, comm).first()[0] or 0.0
-        top = comm
-        for sweep in range(sweeps):
-            wanted = move(now, comm).select("id", F.col("c").alias("to"))
-            allowed = F.col("to") < F.col("c") if sweep % 2 == 0 else F.col("to") > F.col("c")
-            comm = scratch.write(comm.join(wanted, "id").select("id", F.when(allowed, F.col("to")).otherwise(F.col("c")).alias("c")), "comm")
-            q = modularity(now, comm).first()[0] or 0.0
-            if q > best + threshold:
-                best, top = q, comm
-            elif sweep % 2:
-                break
-        if best <= start + threshold:
+        with temporary(spark, keep=scratch):  # what a phase leaves behind but for its result goes
+            strengths = scratch.write(strengths_of(now), "strengths")
+            comm = top = alone(now)
+            start = best = modularity(now, comm, strengths).first()[0] or 0.0
+            for sweep in range(sweeps):
+                wanted = move(now, comm, strengths).select("id", F.col("c").alias("to"))
+                allowed = F.col("to") < F.col("c") if sweep % 2 == 0 else F.col("to") > F.col("c")
+                before, comm = comm, scratch.write(comm.join(wanted, "id").select("id", F.when(allowed, F.col("to")).otherwise(F.col("c")).alias("c")), "comm")
+                if before is not top:
+                    scratch.drop(before)
+                q = modularity(now, comm, strengths).first()[0] or 0.0
+                if q > best + threshold:
+                    scratch.drop(top)
+                    best, top = q, comm
+                elif sweep % 2:
+                    break
+            done = best <= start + threshold
+            if not done:
+                old = now, result
+                result = scratch.write(composed(result, top), "comm")
+                now = scratch.write(coarsen(now, top), "arcs")
+                scratch.drop(*old)
+            scratch.drop(strengths, comm, top)
+        if done:
             break
-        result = scratch.write(composed(result, top), "comm")
-        now = scratch.write(coarsen(now, top), "arcs")
-    return renumbered(result)
+    out = scratch.write(renumbered(result), "out")
+    scratch.drop(now, result)
+    return out
 
 
 def simple_arcs(arcs: DataFrame) -> DataFrame:

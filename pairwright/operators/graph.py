@@ -55,21 +55,38 @@ def without_loop_weight(arcs: DataFrame) -> DataFrame:
 
 
 def arc_positions(arcs: DataFrame) -> DataFrame:
-    """``pos``: an arc's place, from 0, among its source's arcs by target."""
-    return arcs.withColumn("pos", (F.row_number().over(Window.partitionBy("src").orderBy("dst", "w")) - 1).cast("long"))
-
-
-def running_sum(df: DataFrame, order: list[str], value: str, out: str, inclusive: bool = True) -> DataFrame:
-    """Prefix sums of ``value`` in a total order, without a window over the whole table: rows are range
+    """``pos``: an arc's place, from 0, among its source's arcs by target.
+
+    Arcs are range partitioned by source, target and weight, so a hub's arcs lie in many partitions; each numbers its own
+    part, and adds what the partitions before it hold of the same source.
+    """
+    scratch = Scratch(arcs.sparkSession, "positions")
+    order = ["src", "dst", "w"]
+    ranged = scratch.write(arcs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("src", "__p").agg(F.count("*").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("src").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A partition goes on with one source at most, so these are fewer rows than partitions.
+    later = F.broadcast(parts.select("src", "__p", ahead.alias("__ahead")).filter("__ahead > 0"))
+    inner = F.row_number().over(Window.partitionBy("src", "__p").orderBy("dst", "w")) - 1
+    numbered = ranged.withColumn("__i", inner).join(later, ["src", "__p"], "left")
+    return numbered.select(*arcs.columns, (F.col("__i") + F.coalesce("__ahead", F.lit(0))).cast("long").alias("pos"))
+
+
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], inclusive: bool = True) -> DataFrame:
+    """Prefix sums ``{value: name}`` in a total order, without a window over the whole table: rows are range
     partitioned, partitions are summed, and each adds what all before it have."""
     scratch = Scratch(df.sparkSession, "running")
     ranged = scratch.write(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("__p").agg(F.sum(value).alias("__t"))
-    ahead = F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    totals = F.broadcast(totals.select("__p", ahead.alias("__ahead")))
-    last = 0 if inclusive else -1
-    inner = F.coalesce(F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)), F.lit(0))
-    return ranged.withColumn("__own", inner).join(totals, "__p").withColumn(out, F.col("__own") + F.col("__ahead")).drop("__p", "__own", "__ahead")
+    totals = ranged.groupBy("__p").agg(*[F.sum(v).alias(f"__t_{o}") for v, o in sums.items()])
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    totals = F.broadcast(totals.select("__p", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__ahead_{o}") for o in sums.values()]))
+    inner = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    own = ranged.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"__own_{o}") for v, o in sums.items()])
+    return own.join(totals, "__p").select(*df.columns, *[(F.col(f"__own_{o}") + F.col(f"__ahead_{o}")).alias(o) for o in sums.values()])
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, out: str, inclusive: bool = True) -> DataFrame:
+    return running_sums(df, order, {value: out}, inclusive)
 
 
 def dense_ids(ids: DataFrame, column: str = "id", out: str = "idx") -> DataFrame:
@@ -79,12 +96,17 @@ def dense_ids(ids: DataFrame, column: str = "id", out: str = "idx") -> DataFrame
 
 
 def csr_offsets(arcs: DataFrame) -> DataFrame:
-    """``id, idx, degree, first, last``: vertices numbered by id, and the half-open range of their arcs when arcs are sorted by source."""
-    degrees = arcs.groupBy("src").agg(F.count("*").alias("degree"))
-    everyone = vertices_of(arcs).join(degrees.withColumnRenamed("src", "id"), "id", "left").fillna(0, ["degree"]).withColumn("__one", F.lit(1).cast("long"))
-    numbered = running_sum(everyone, ["id"], "__one", "idx", inclusive=False)
-    out = running_sum(numbered, ["id"], "degree", "last")
-    return out.select("id", F.col("idx").cast("long").alias("idx"), "degree", (F.col("last") - F.col("degree")).alias("first"), "last")
+    """``id, idx, degree, first, last``: vertices numbered by id, and the half-open range of their arcs when arcs are sorted by source.
+
+    One aggregation counts both ends, a target's end as no arc; its rows, one a vertex, are stored, as
+    cutting them into ranges reads them twice.
+    """
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).cast("long").alias("n")), F.struct(F.col("dst").alias("id"), F.lit(0).cast("long").alias("n"))))
+    degrees = arcs.select(ends.alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.sum("e.n").alias("degree"), F.lit(1).cast("long").alias("__one"))
+    scratch = Scratch(arcs.sparkSession, "offsets")
+    stored = scratch.write(degrees, "degrees")
+    summed = running_sums(stored, ["id"], {"__one": "idx", "degree": "first"}, inclusive=False)
+    return summed.select("id", F.col("idx").cast("long").alias("idx"), "degree", F.col("first").cast("long").alias("first"), (F.col("first") + F.col("degree")).cast("long").alias("last"))
 
 
 def sorted_arcs(arcs: DataFrame) -> DataFrame:

@@ -53,15 +53,23 @@ def prune(edges: DataFrame, matched: DataFrame, few: bool = False) -> DataFrame:
     return left.join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v", "w")
 
 
-def greedy(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Positions of the edges that taking them by descending (weight, larger end, smaller end) keeps."""
+def still_valid(chosen: DataFrame, matched: DataFrame, few: bool = False) -> DataFrame:
+    """``u, p, w, valid`` of the pointers of free vertices: whether the vertex pointed at is free, too. Only the others point anew."""
+    gone = F.broadcast(matched) if few else matched
+    free = chosen.join(gone.withColumnRenamed("id", "u"), "u", "left_anti")
+    lost = gone.select(F.col("id").alias("p"), F.lit(False).alias("valid"))
+    return free.join(lost, "p", "left").select("u", "p", "w", F.coalesce("valid", F.lit(True)).alias("valid"))
+
+
+def greedy(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, int]:
+    """Positions of the edges that taking them by descending (weight, larger end, smaller end) keeps, and the rounds
+    in which mutual pointers would find them."""
     order = np.lexsort((np.minimum(u, v), np.maximum(u, v), w))[::-1]
     ids, ends = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
     a, b = ends[: len(u)], ends[len(u) :]
-    live, taken, keep = np.arange(len(u)), np.zeros(len(ids), bool), []
-    for _ in range(TASK_ROUNDS):
-        if not len(live):
-            break
+    live, taken, keep, rounds = np.arange(len(u)), np.zeros(len(ids), bool), [], 0
+    while rounds < TASK_ROUNDS and len(live):
+        rounds += 1
         best = np.full((2, len(ids)), len(u))
         best[0][a[live][::-1]] = live[::-1]  # of an end's edges the first one stays
         best[1][b[live][::-1]] = live[::-1]
@@ -70,27 +78,36 @@ def greedy(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         keep.append(won)
         taken[a[won]] = taken[b[won]] = True
         live = live[~(taken[a[live]] | taken[b[live]])]
-    rest = []
+    # What is left goes edge by edge. An edge is mutual in the round after its heavier neighbours have all gone, that is after the
+    # last of those that took an end of each; a vertex or edge is gone in the round in which a neighbour was matched.
+    rest, gone_in = [], np.full(len(ids), rounds)
     for i, x, y in zip(live.tolist(), a[live].tolist(), b[live].tolist()):
-        if not (taken[x] or taken[y]):
+        if taken[x] or taken[y]:
+            when = min(gone_in[e] for e in (x, y) if taken[e])
+            for e in (x, y):
+                if not taken[e]:
+                    gone_in[e] = max(gone_in[e], when)
+        else:
             taken[x] = taken[y] = True
+            gone_in[x] = gone_in[y] = max(gone_in[x], gone_in[y]) + 1
             rest.append(i)
-    return order[np.concatenate([*keep, np.array(rest, int)])]
+    return order[np.concatenate([*keep, np.array(rest, int)])], int(gone_in.max(initial=rounds))
 
 
 def _greedy(batches):
-    """The rest of a graph in one task."""
+    """The rest of a graph in one task: pairs, and a row without ends whose weight is the number of rounds."""
     rows = [b for b in batches if b.num_rows]
     if rows:
         t = pa.Table.from_batches(rows)
         columns = [t.column(c).to_numpy() for c in ("u", "v", "w")]
-        keep = greedy(*columns)
+        keep, rounds = greedy(*columns)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["u", "v", "w"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([float(rounds)])], ["u", "v", "w"])
 
 
 @dataclass
 class Matching:
-    """``pairs``: u < v with weight. ``rounds``: those that matched something; the one-task finish counts as none."""
+    """``pairs``: u < v with weight. ``rounds``: those that matched something, wherever they ran."""
 
     pairs: DataFrame
     rounds: int
@@ -108,26 +125,32 @@ class Matching:
 def locally_dominant(edges: DataFrame, least: float = LEAST_WEIGHT, strict: bool = False, finish_edges: int = FINISH_EDGES) -> Matching:
     """Match canonical edges ``(u < v, w)``, each pair once.
 
-    A round is an aggregation to pointers, a small one to mutual pairs, and a pruning of the edges, all of
-    it stored in the shared folder, so lineage stays short and a lost executor costs a task. Matched
-    vertices are broadcast only where a count says that they are few. The heaviest edge that is left is
-    always mutual, so every round matches something.
+    A round finds the mutual pairs of all pointers, prunes the edges of matched vertices, and lets those
+    vertices point anew whose pointer lost its target; all of it is stored in the shared folder, so lineage stays short
+    and a lost executor costs a task. Matched vertices, and those that point anew, are broadcast only where a count says that
+    they are few. The heaviest edge that is left is always mutual, so every round matches something.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "matching")
-    now = scratch.write(eligible(edges, least, strict).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("w").cast("double").alias("w")), "edges")
-    found, rounds = [], 0
-    left = now.count()
+    now, left = scratch.counted(eligible(edges, least, strict).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("w").cast("double").alias("w")), "edges")
+    found, rounds, chosen = [], 0, None
     while left > finish_edges:
-        pairs = scratch.write(mutual(pointers(arcs_of(now))), "pairs")
+        if chosen is None:
+            chosen = scratch.write(pointers(arcs_of(now)), "pointers")
+        pairs, n = scratch.counted(mutual(chosen), "pairs")
         found.append(pairs)
         rounds += 1
+        few = 2 * n <= BROADCAST_VERTICES
         matched = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-        before, now = now, scratch.write(prune(now, matched, few=2 * pairs.count() <= BROADCAST_VERTICES), "edges")
+        before = now
+        now, left = scratch.counted(prune(now, matched, few), "edges")
+        scratch.drop(before)
+        before, chosen = chosen, _anew(scratch, still_valid(chosen, matched, few), now) if left > finish_edges else None
         scratch.drop(before)
-        left = now.count()
     if left:
-        found.append(scratch.write(now.coalesce(1).mapInArrow(_greedy, EDGES), "rest"))
+        rest = scratch.write(now.coalesce(1).mapInArrow(_greedy, EDGES), "rest")
+        rounds += int(rest.filter("u is null").first().w)
+        found.append(rest.filter("u is not null"))
     scratch.drop(now)
     out = spark.createDataFrame([], EDGES)
     for pairs in found:
@@ -135,6 +158,16 @@ def locally_dominant(edges: DataFrame, least: float = LEAST_WEIGHT, strict: bool
     return Matching(out, rounds)
 
 
+def _anew(scratch: Scratch, chosen: DataFrame, edges: DataFrame) -> DataFrame:
+    """All pointers after a round: those that hold, and new ones of the vertices whose pointer lost its target."""
+    chosen = scratch.write(chosen, "chosen")
+    lost, n = scratch.counted(chosen.filter("not valid").select(F.col("u").alias("src")), "lost")
+    arcs = arcs_of(edges).join(F.broadcast(lost) if n <= BROADCAST_VERTICES else lost, "src", "left_semi")
+    out = scratch.write(chosen.filter("valid").select("u", "p", "w").unionByName(pointers(arcs)), "pointers")
+    scratch.drop(chosen, lost)
+    return out
+
+
 def mate_weights(mates: DataFrame, arcs: DataFrame) -> DataFrame:
     """``u, v, w`` of each mate: the heaviest of parallel arcs."""
     top = arcs.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.max("w").alias("w"))

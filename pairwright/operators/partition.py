@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairwright.plans.storage import Scratch
+
 #: What an edge of one byte a unit takes of memory, buffers included.
 BYTES_PER_UNIT = 8.25
 
@@ -14,6 +16,7 @@ def edge_balanced(offsets: DataFrame, parts: int) -> DataFrame:
 
     ``offsets`` is :func:`graph.csr_offsets`. All borders come from one aggregation; no sort, no search by the driver.
     """
+    offsets = Scratch(offsets.sparkSession, "offsets").write(offsets.select("idx", "first", "last"))
     size = offsets.agg(F.coalesce(F.max("last"), F.lit(0)).alias("ne"), F.count("*").alias("nv")).first()
     borders = offsets.select("idx", F.col("first").alias("at"))
     nearest = [F.min(F.struct(F.abs(F.col("at") - F.lit(i * size.ne // parts)), F.col("idx"))).alias(f"c{i}") for i in range(1, parts)]
@@ -27,6 +30,27 @@ def edge_balanced(offsets: DataFrame, parts: int) -> DataFrame:
     return _ranges(offsets.sparkSession, [*cuts, size.nv])
 
 
+def edge_balanced_within(offsets: DataFrame, ranges: DataFrame, batches: int) -> DataFrame:
+    """``part, batch, lo, hi``: every range of ``ranges (part, lo, hi)`` cut once more, so that its batches have near equal arcs.
+    Borders are nearest to equal steps of the range's own arcs, of two as near the smaller; all ranges in one aggregation."""
+    offsets = Scratch(offsets.sparkSession, "offsets").write(offsets.select("idx", "first", "last"))
+    end = offsets.agg((F.coalesce(F.max("idx"), F.lit(-1)) + 1).alias("idx"), F.coalesce(F.max("last"), F.lit(0)).alias("at"))
+    borders = offsets.select("idx", F.col("first").alias("at")).unionByName(end)
+    r = F.broadcast(ranges)  # as many rows as parts
+    inside = borders.join(r, (F.col("idx") >= r.lo) & (F.col("idx") <= r.hi)).select("part", "lo", "hi", "idx", "at")
+    spans = inside.groupBy("part", "lo", "hi").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    wanted = spans.select("part", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(batches))).alias("batch"))
+    step = F.expr(f"(b - a) div {batches}")
+    target = F.when(F.col("batch") == batches, F.col("b")).otherwise(F.col("a") + F.col("batch") * step)
+    wanted = F.broadcast(wanted.select("part", "batch", target.alias("target")))  # parts * (batches + 1) rows
+    near = F.min(F.struct(F.abs(F.col("at") - F.col("target")), F.col("idx"))).alias("near")
+    cuts = inside.join(wanted, "part").groupBy("part", "lo", "hi", "batch").agg(near)
+    cut = F.when(F.col("batch") == 0, F.col("lo")).when(F.col("batch") == batches, F.col("hi")).otherwise(F.col("near.idx"))
+    placed = cuts.select("part", "batch", cut.alias("lo"))
+    after = F.lead("lo").over(Window.partitionBy("part").orderBy("batch"))
+    return placed.withColumn("hi", after).filter("hi is not null").select(F.col("part").cast("int").alias("part"), F.col("batch").cast("int").alias("batch"), "lo", "hi")
+
+
 def vertex_balanced(spark, n: int, parts: int) -> DataFrame:
     """``part, lo, hi``: equal numbers of vertices, the rest to the last part."""
     return _ranges(spark, [*(i * (n // parts) for i in range(parts)), n])
@@ -36,12 +60,15 @@ def greedy(offsets: DataFrame, capacity: int, overflow: bool = True) -> DataFram
     """``part, lo, hi`` filled one after the other: a range ends behind the vertex that takes it over ``capacity``
     arcs, or without ``overflow`` before it (a vertex over the capacity has a range of its own).
 
-    One aggregation a range: their number is arcs / capacity, and the offsets never leave the cluster.
+    One aggregation a range, over the stored rows near its end only: the vertex that takes a range over its
+    capacity ends at most the largest degree beyond it, and the files know their smallest and largest offsets. The
+    offsets never leave the cluster.
     """
-    size = offsets.agg(F.coalesce(F.max("last"), F.lit(0)).alias("ne"), F.count("*").alias("nv")).first()
+    offsets = Scratch(offsets.sparkSession, "offsets").write(offsets.select("idx", "degree", "first", "last"))
+    size = offsets.agg(F.coalesce(F.max("last"), F.lit(0)).alias("ne"), F.count("*").alias("nv"), F.coalesce(F.max("degree"), F.lit(0)).alias("most")).first()
     cuts, start = [0], 0
     while cuts[-1] < size.nv:
-        over = offsets.filter((F.col("idx") >= cuts[-1]) & (F.col("last") - F.lit(start) > capacity)).agg(F.min(F.struct("idx", "first", "last")).alias("o")).first().o
+        over = offsets.filter((F.col("idx") >= cuts[-1]) & (F.col("last") > start + capacity) & (F.col("last") <= start + capacity + size.most)).agg(F.min(F.struct("idx", "first", "last")).alias("o")).first().o
         if over is None:
             cuts.append(size.nv)
         elif overflow or over.idx == cuts[-1]:
@@ -96,6 +123,13 @@ def grid(parts: int) -> tuple[int, int]:
     return rows, parts // rows
 
 
+def edge_rank(edge_id: Column, parts: int) -> Column:
+    """The rank on the process grid that an edge's id hashes to."""
+    rows, columns = grid(parts)
+    part = F.pmod(F.conv(F.substring(F.md5(edge_id.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(parts))
+    return ((part % rows) * columns + F.floor(part / rows)).cast("int")
+
+
 def on_grid(arcs: DataFrame, major: Column, minor: Column, parts: int) -> DataFrame:
     """``arcs`` with where the vertex partitions of their ends put them: ``rank`` on the grid, ``edge_part``
     (one of parts * columns), ``local_part`` within the rank, and the local numbers of both ends' partitions."""

@@ -129,7 +129,7 @@ MUTUAL = f"with {arcs_sql(COPART)}, p as materialized ({POINTERS} group by src),
 query("mutual_pairs", f"{MUTUAL} select u, v, w from mutual")(lambda s, d: matching.mutual(matching.pointers(_copart_arcs(s, d))))
 
 
-@query("prune_matched", f"{MUTUAL}, gone as (select u as id from mutual union all select v from mutual) select u, v, w from g where u not in (select id from gone) and v not in (select id from gone)")
+@query("prune_matched", f"{MUTUAL}, gone as (select u as id from mutual union all select v from mutual) select u, v, w from g where not exists (select 1 from gone where gone.id = u) and not exists (select 1 from gone where gone.id = v)")
 def prune_matched(spark: SparkSession, d: str) -> DataFrame:
     edges = Scratch(spark, "graph").write(views.copart(spark, d), "edges")
     pairs = matching.mutual(matching.pointers(graph.arcs_of(edges)))

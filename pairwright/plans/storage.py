@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,33 @@ def _own_root() -> str:
     return "file://" + folder
 
 
+#: Paths that this process made below the shared folder and has not deleted.
+_LIVE: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/pairwright/{label}-{uuid.uuid4().hex}"
+    _LIVE.append(path := f"{shared_root(spark)}/pairwright/{label}-{uuid.uuid4().hex}")
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession, keep: Scratch | None = None):
+    """Deletes, at its end, whatever was stored in the shared folder within it, but for the tables of ``keep``.
+
+    Results are lazy and read tables that stay behind them; who uses a result within this context leaves nothing::
+
+        with temporary(spark):
+            near_groups(docs).write.parquet(path)
+
+    One process, one thread at a time.
+    """
+    before = set(_LIVE)
+    try:
+        yield
+    finally:
+        mine = set(keep.paths[i][1] for i in keep.paths) if keep else set()
+        for path in [p for p in _LIVE if p not in before and p not in mine]:
+            delete(spark, path)
 
 
 class Scratch:
@@ -46,7 +72,7 @@ class Scratch:
 
     ``write`` stores a DataFrame and returns it as read back; ``drop`` deletes tables that
     nothing needs any more. Tables behind a returned, still lazy result must stay: they
-    are as long-lived as the cluster's checkpoint folder.
+    are as long-lived as the cluster's checkpoint folder, unless the caller works within :func:`temporary`.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -59,6 +85,11 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def counted(self, df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+        """``write``, and how many rows that were; of a table of a file or so the footers say it."""
+        out = self.write(df, name)
+        return out, out.count()
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if df is not None and id(df) in self.paths:
@@ -67,5 +98,7 @@ class Scratch:
 
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
+    if path in _LIVE:
+        _LIVE.remove(path)
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -62,24 +62,26 @@ class CsrReader(DataSourceReader):
         return struct.unpack("<q", self.file.read(HEADER + 8 * v, 8))[0]
 
     def partitions(self) -> list[Range]:
-        """Vertex ranges with near equal arcs: a binary search of the offsets a border, so the driver reads a few bytes of them."""
-        cuts = [0]
-        for i in range(1, self.parts):
-            low, high, target = cuts[-1], self.nv, i * self.ne // self.parts
-            while low < high:
-                mid = (low + high) // 2
-                low, high = (mid + 1, high) if self._offset(mid) - self.base < target else (low, mid)
-            cuts.append(low)
-        return [Range(a, b) for a, b in zip(cuts, [*cuts[1:], self.nv]) if a < b] or [Range(0, 0)]
+        """Ranges of arcs, all as long: a hub's arcs lie in many of them."""
+        cuts = [i * self.ne // self.parts for i in range(self.parts + 1)]
+        return [Range(a, b) for a, b in zip(cuts, cuts[1:]) if a < b] or [Range(0, 0)]
+
+    def _vertex_of(self, arc: int) -> int:
+        """Whose range of arcs holds this one: a binary search of the offsets."""
+        low, high = 0, self.nv
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if self._offset(mid) - self.base <= arc else (low, mid)
+        return low
 
     def read(self, partition: Range):
-        a, b = partition.first, partition.last
-        offsets = np.frombuffer(self.file.read(HEADER + 8 * a, 8 * (b - a + 1)), "<i8") - self.base
         start = HEADER + 8 * (self.nv + 1)
         kind = np.dtype([("src", "<i8")] * (self.record == 24) + [("dst", "<i8"), ("w", "<f8")])
-        for at in range(int(offsets[0]), int(offsets[-1]), READ_ARCS):
-            n = min(READ_ARCS, int(offsets[-1]) - at)
+        for at in range(partition.first, partition.last, READ_ARCS):
+            n = min(READ_ARCS, partition.last - at)
             arcs = np.frombuffer(self.file.read(start + self.record * at, self.record * n), kind)
+            a, b = self._vertex_of(at), self._vertex_of(at + n - 1)
+            offsets = np.frombuffer(self.file.read(HEADER + 8 * a, 8 * (b - a + 1)), "<i8") - self.base
             src = a + np.searchsorted(offsets, np.arange(at, at + n), "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(src.astype(np.int64)), pa.array(np.ascontiguousarray(arcs["dst"])), pa.array(np.ascontiguousarray(arcs["w"]))], ["src", "dst", "w"])
 

@@ -39,6 +39,19 @@ def greedy(rows):
     return out
 
 
+def round_count(rows):
+    """Rounds of pointers and mutual pairs, step by step."""
+    live, n = [(a, b, w) for a, b, w in rows if a != b and w >= -1], 0
+    while live:
+        best = {}
+        for a, b, w in live:
+            for x, y in ((a, b), (b, a)):
+                best[x] = max(best.get(x, (w, y)), (w, y))
+        gone = {x for x, (_, y) in best.items() if best[y][1] == x}
+        live, n = [e for e in live if not {e[0], e[1]} & gone], n + 1
+    return n
+
+
 def pairs(m):
     return {(x.u, x.v) for x in m.pairs.collect()}
 
@@ -49,7 +62,7 @@ def test_golden(spark, finish):
     assert pairs(m) == {(0, 2), (1, 4), (3, 5)}
     x = m.summary().first()
     assert (x.matched_vertices, x.pairs, round(x.matching_weight, 9), round(x.both_ends_weight, 9)) == (6, 3, 13.4, 26.8)
-    assert m.rounds == (2 if finish == 0 else 0)
+    assert m.rounds == 2
     assert {(x.u, x.v) for x in m.mates().collect()} == {(0, 2), (2, 0), (1, 4), (4, 1), (3, 5), (5, 3)}
 
 
@@ -76,6 +89,7 @@ def test_random_graphs_with_ties(spark, seed):
     rows = [(a, b, r.choice([-1.0, -0.5, 0.0, 1.0, 2.0])) for a, b in found]
     m = locally_dominant(edges(spark, rows), finish_edges=0)
     got = pairs(m)
+    assert m.rounds == locally_dominant(edges(spark, rows)).rounds == round_count(rows)
     assert got == greedy(rows) == pairs(locally_dominant(edges(spark, rows).repartition(7)))
     met = {x for p in got for x in p}
     assert len(met) == 2 * len(got) and all({a, b} & met for a, b, _ in rows)
@@ -89,10 +103,12 @@ def test_the_finish_of_one_task(monkeypatch, rounds):
         found = sorted({tuple(sorted(r.sample(range(n), 2))) for _ in range(3 * n)})
         rows = [(*(p if r.random() < 0.5 else p[::-1]), r.choice([0.0, 1.0, 2.5])) for p in found]
         u, v, w = (np.array(c) for c in zip(*rows))
-        keep = matching.greedy(u, v, w)
+        keep, n_rounds = matching.greedy(u, v, w)
+        assert n_rounds == round_count(rows)
         assert {(min(u[i], v[i]), max(u[i], v[i])) for i in keep.tolist()} == greedy(rows) and len(keep) == len(greedy(rows))
     path = np.arange(5000)
-    assert len(matching.greedy(path, path + 1, path.astype(float))) == 2500
+    keep, n_rounds = matching.greedy(path, path + 1, path.astype(float))
+    assert len(keep) == 2500 == n_rounds
 
 
 def test_half_of_the_optimum():
