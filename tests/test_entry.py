@@ -26,3 +26,11 @@ def test_without_the_second_part(tmp_path):
     shutil.rmtree(tmp_path / "pairwright/llm", ignore_errors=True)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e, sys; print(len(e.queries()), any('llm' in m for m in sys.modules))"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert int(said[0]) > 50 and said[1] == "False"
+
+
+def test_with_a_library_missing():
+    """What the second part needs and does not find takes none of the graph queries along."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') and n[2].isdigit() for n in q), set(e.oracle_sql()) <= set(q))"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    said = ran.stdout.split()
+    assert int(said[0]) > 50 and said[1:] == ["False", "True"] and ("xxhash" in ran.stderr or not (ROOT / "pairwright/llm").is_dir())

@@ -1,12 +1,13 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairwright.operators.graph import arcs_of
 from pairwright.sources.csr import read_csr, write_csr
 from pairwright.sources.dump import dump_communities
 from pairwright.sources.memory import from_lists
-from pairwright.sources.mtx import Kind, parse_banner, properties, read_dense, read_mtx, write_mtx
+from pairwright.sources.mtx import Kind, parse_banner, properties, read_complex, read_dense, read_mtx, write_dense, write_mtx
 from tests.test_matching import GOLDEN, edges
 
 ROWS = sorted([(a, b, w) for a, b, w in GOLDEN] + [(b, a, w) for a, b, w in GOLDEN])
@@ -70,6 +71,59 @@ def test_kinds(spark, tmp_path):
     (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 2 3\n")
     with pytest.raises(Exception, match="complex"):
         read_mtx(spark, str(tmp_path / "c.mtx")).count()
+    assert [tuple(x) for x in read_complex(spark, str(tmp_path / "c.mtx")).collect()] == [(0, 0, 2.0, 3.0)]
+    (tmp_path / "r.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n2 2 1\n2 1 5\n")
+    assert sorted(map(tuple, read_complex(spark, str(tmp_path / "r.mtx")).collect())) == [(0, 1, 5.0, 0.0), (1, 0, 5.0, 0.0)]
+
+
+def matrix(symmetry, n=5):
+    """A complex matrix of that symmetry, as entries."""
+    value = lambda i, j: complex((3 * i + 7 * j) % 5 - 1.5, (i * j) % 3 - 1) if (i + j) % 3 else 0
+    other = {"general": None, "symmetric": lambda z: z, "skew-symmetric": lambda z: -z, "hermitian": lambda z: z.conjugate()}[symmetry]
+    m = [[value(i, j) for j in range(n)] for i in range(n)]
+    if other:
+        m = [[m[i][j] if i > j else other(complex(m[j][i])) if i < j else {"symmetric": m[i][i], "skew-symmetric": 0, "hermitian": complex(m[i][i]).real}[symmetry] for j in range(n)] for i in range(n)]
+    return sorted((i, j, complex(m[i][j]).real, complex(m[i][j]).imag) for i in range(n) for j in range(n) if m[i][j])
+
+
+@pytest.mark.parametrize("symmetry", ["general", "symmetric", "skew-symmetric", "hermitian"])
+def test_complex_round_trips(spark, tmp_path, symmetry):
+    want = matrix(symmetry)
+    entries = spark.createDataFrame(want, "src long, dst long, re double, im double").repartition(3)
+    got = lambda df: sorted((a, b, x + 0.0, y + 0.0) for a, b, x, y in map(tuple, df.collect()))
+    write_mtx(entries, f"{tmp_path}/m", 5, "complex", symmetry)
+    write_dense(entries, f"{tmp_path}/d", 5, "complex", symmetry)
+    for split in (11, 1 << 20):
+        assert got(read_complex(spark, f"{tmp_path}/m", split=split)) == want
+        assert got(read_dense(spark, f"{tmp_path}/d", split=split)) == want
+    assert properties(spark, f"{tmp_path}/m").first().nnz == len(want)
+
+
+@pytest.mark.parametrize("field,symmetry", [("real", "general"), ("integer", "symmetric"), ("real", "skew-symmetric")])
+def test_dense_round_trip(spark, tmp_path, field, symmetry):
+    sign = lambda a, b: -1.0 if symmetry == "skew-symmetric" and a < b else 1.0
+    want = [(a, b, sign(a, b) * (round(w) + 1.0)) for a, b, w in ROWS]
+    write_dense(spark.createDataFrame(want, "src long, dst long, w double"), f"{tmp_path}/d", 6, field, symmetry)
+    for split in (9, 1 << 20):
+        assert rows(read_dense(spark, f"{tmp_path}/d", split)) == want
+    head = next(tmp_path.glob("d/0-header.mtx")).read_text()
+    assert head == f"%%MatrixMarket matrix array {field} {symmetry}\n6 6\n"
+    with pytest.raises(ValueError):
+        write_dense(arcs_of(edges(spark, GOLDEN)), f"{tmp_path}/x", 6, "pattern")
+
+
+def test_dense_ranges_are_many_tasks(spark, tmp_path):
+    n = 40
+    (tmp_path / "big.mtx").write_text(f"%%MatrixMarket matrix array real general\n{n} {n}\n" + "".join(f"{i + 1}.0\n" for i in range(n * n)))
+    got = read_dense(spark, str(tmp_path / "big.mtx"), 100).select("w", F.spark_partition_id().alias("task")).collect()
+    assert sorted(x.w for x in got) == [i + 1.0 for i in range(n * n)] and len({x.task for x in got}) > 30
+
+
+def test_a_hub_is_read_by_many_tasks(spark, tmp_path):
+    star = arcs_of(edges(spark, [(0, i, float(i)) for i in range(1, 400)]))
+    write_csr(star, f"file://{tmp_path}/s")
+    got = read_csr(spark, f"file://{tmp_path}/s", parts=8).withColumn("task", F.spark_partition_id())
+    assert got.filter("src = 0").select("task").distinct().count() == 4 and rows(got) == rows(star)
 
 
 @pytest.mark.parametrize("split", [1, 6, 1 << 20])
