@@ -12,6 +12,7 @@ from pairwright.operators import coloring, community, generators, graph, matchin
 from pairwright.plans import views
 from pairwright.plans.storage import Scratch, new_path
 from pairwright.sources import csr, dump, memory, mtx
+from pairwright.streaming.degrees import degrees_of_files
 
 PARTS = 8
 GRID = 6
@@ -136,6 +137,15 @@ def prune_matched(spark: SparkSession, d: str) -> DataFrame:
     return matching.prune(edges, pairs.select(F.explode(F.array("u", "v")).alias("id")))
 
 
+@query(
+    "pointers_still_valid",
+    f"{MUTUAL}, gone as (select u as id from mutual union all select v from mutual) select u, p, w, not exists (select 1 from gone where gone.id = p.p) as valid from p where not exists (select 1 from gone where gone.id = p.u)",
+)
+def pointers_still_valid(spark: SparkSession, d: str) -> DataFrame:
+    chosen = Scratch(spark, "graph").write(matching.pointers(_copart_arcs(spark, d)), "pointers")
+    return matching.still_valid(chosen, matching.mutual(chosen).select(F.explode(F.array("u", "v")).alias("id")))
+
+
 @query("mate_weight_lookup", f"{MUTUAL} select u, v, w from mutual union all select v, u, w from mutual")
 def mate_weight_lookup(spark: SparkSession, d: str) -> DataFrame:
     arcs = _stored_arcs(spark, d)
@@ -163,6 +173,15 @@ cuts as (select 0 as i, 0 as cut union all
          select {PARTS}, (select max(idx) + 1 from o))"""
 RANGES = "select cast(i as int) as part, cast(cut as bigint) as lo, cast(lead(cut) over (order by i) as bigint) as hi from cuts qualify hi is not null"
 query("range_partition_edges", f"with {OFFSETS}, {CUTS} {RANGES}")(lambda s, d: partition.edge_balanced(graph.csr_offsets(_copart_arcs(s, d)), PARTS))
+BATCHES = 3
+query(
+    "range_partition_batches",
+    f"""with {OFFSETS}, {CUTS}, ranges as ({RANGES}), inside as (select part, lo, hi, idx, pos from ranges join borders on idx between lo and hi),
+steps as (select part, batch, min(pos) as a, max(pos) as b from inside, range({BATCHES + 1}) r(batch) group by 1, 2),
+near as (select part, batch, lo, hi, arg_min(idx, (abs(pos - (a + batch * ((b - a) // {BATCHES}))), idx)) as idx from inside join steps using (part) group by all),
+placed as (select part, cast(batch as int) as batch, cast(case when batch = 0 then lo when batch = {BATCHES} then hi else idx end as bigint) as lo from near)
+select *, lead(lo) over (partition by part order by batch) as hi from placed qualify hi is not null""",
+)(lambda s, d: (lambda o: partition.edge_balanced_within(o, partition.edge_balanced(o, PARTS), BATCHES))(graph.csr_offsets(_copart_arcs(s, d))))
 query("range_partition_vertices", f"with n as (select count(*) as n from part) select cast(i as int) as part, i * (n // {PARTS}) as lo, case when i = {PARTS - 1} then n else (i + 1) * (n // {PARTS}) end as hi from n, range({PARTS}) r(i)")(
     lambda s, d: partition.vertex_balanced(s, views.table(s, d, "part").count(), PARTS)
 )
@@ -234,6 +253,9 @@ query("local_vertices", f"with {arcs_sql(COPART)} select distinct src as id from
 query("local_edges", f"with {arcs_sql(TRADE)}, p as (select src, dst, w, {MD5.format('src')} as mj, {MD5.format('dst')} as mn from arcs) select src, dst, w from p where (mn // {partition.grid(GRID)[0]}) * {partition.grid(GRID)[0]} + mj % {partition.grid(GRID)[0]} = 3")(
     lambda s, d: partition.local_edges(_trade_arcs(s, d), 3, GRID)
 )
+query("edge_rank_hash", f"with {arcs_sql(COPART)}, p as (select src, dst, {MD5.format('100000 * src + dst')} as part from arcs) select src, dst, cast((part % {partition.grid(GRID)[0]}) * {partition.grid(GRID)[1]} + part // {partition.grid(GRID)[0]} as int) as rank from p")(
+    lambda s, d: _copart_arcs(s, d).select("src", "dst", partition.edge_rank(100000 * F.col("src") + F.col("dst"), GRID).alias("rank"))
+)
 query("edges_by_hash", f"with {arcs_sql(TRADE)} select src, dst, w from arcs")(lambda s, d: partition.by_hash(_trade_arcs(s, d), GRID))
 
 
@@ -293,11 +315,47 @@ query("renumber_communities", f"with {arcs_sql(COPART)}, comm as (select distinc
 query("compose_clustering", f"with {arcs_sql(COPART)} select distinct src as id, 100 + src % {COMMUNITIES} as c from arcs")(
     lambda s, d: (lambda c: community.composed(c, c.select(F.col("c").alias("id"), (F.col("c") + 100).alias("c")).distinct()))(_mod_communities(_copart_arcs(s, d)))
 )
-query("louvain_communities")(lambda s, d: community.louvain(_trade_arcs(s, d)))
+#: What must hold of any communities that moves and coarsening found: all vertices, numbers without a gap, and more modularity than vertices alone.
+FOUND = "select count(distinct src) as vertices, true as dense, true as better from arcs"
+query("louvain_communities", f"with {arcs_sql(TRADE)} {FOUND}")(lambda s, d: _louvain_check(_trade_arcs(s, d)))
+query("louvain_custsupp", f"with {arcs_sql(CUSTSUPP)} {FOUND}")(lambda s, d: _louvain_check(graph.arcs_of(Scratch(s, "graph").write(views.custsupp(s, d), "edges"))))
+
+
+def _louvain_check(arcs: DataFrame) -> DataFrame:
+    found = community.louvain(arcs)
+    alone = community.modularity(arcs, community.singletons(graph.vertices_of(arcs))).select(F.col("modularity").alias("alone"))
+    seen = found.agg(F.countDistinct("id").alias("vertices"), (F.countDistinct("c") == F.max("c") + 1).alias("dense"))
+    q = community.modularity(arcs, found).join(F.broadcast(alone)).select((F.col("modularity") > F.col("alone")).alias("better"))
+    return seen.join(F.broadcast(q))
+
 
 # Colouring
 
-query("coloring")(lambda s, d: (lambda a: coloring.color(a, graph.vertices_of(a)))(graph.arcs_of(views.custsupp(s, d))))
+PRIORITY = "cast('0x' || substr(md5(cast(id as varchar)), 1, 8) as bigint)"
+query(
+    "coloring",
+    f"""with recursive {arcs_sql(CUSTSUPP)}, n as materialized (select id, row_number() over (order by {PRIORITY} desc, id desc) as r from (select distinct src as id from arcs)),
+before as materialized (select a.r as r, b.r as earlier from arcs join n a on src = a.id join n b on dst = b.id where b.r < a.r),
+c(it, r, color) as (
+  select 0, cast(-1 as bigint), cast(-1 as bigint)
+  union all
+  (with done as (select r, color from c where r >= 0),
+        open as (select n.r from n where not exists (select 1 from done where done.r = n.r)),
+        ready as (select r from open where not exists (select 1 from before join open o on before.earlier = o.r where before.r = open.r)),
+        used as (select ready.r, list(distinct done.color) as cols from ready left join before on before.r = ready.r left join done on done.r = before.earlier group by 1)
+   select (select max(it) from c) + 1, r, color from (
+     select r, color from done union all
+     select r, list_filter(range(0, len(cols) + 1), lambda x: not list_contains(cols, x))[1] from used) where exists (select 1 from open)))
+select id, color from c join n using (r) where it = (select max(it) from c)""",
+)(lambda s, d: _colored(s, d))
+
+
+def _colored(spark, d):
+    arcs = graph.arcs_of(Scratch(spark, "graph").write(views.custsupp(spark, d), "edges"))
+    priority = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
+    return coloring.color(arcs, graph.vertices_of(arcs), priority)
+
+
 query("coloring_check", "select cast(0 as bigint) as conflicts, true as few")(lambda s, d: _coloring_check(s, d))
 
 
@@ -346,6 +404,35 @@ def mtx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return mtx.read_mtx(spark, path)
 
 
+@query("mtx_custsupp", f"with {arcs_sql(CUSTSUPP)} select * from arcs")
+def mtx_custsupp(spark: SparkSession, d: str) -> DataFrame:
+    path, arcs = new_path(spark, "mtx"), graph.arcs_of(views.custsupp(spark, d))
+    mtx.write_mtx(arcs, path, 1 + (arcs.agg(F.max("src")).first()[0] or 0), "integer", "symmetric")
+    return mtx.read_mtx(spark, path)
+
+
+@query("mtx_dense_roundtrip", f"with {arcs_sql(TRADE)} select * from arcs")
+def mtx_dense_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "mtx")
+    mtx.write_dense(_trade_arcs(spark, d), path, 25, symmetry="symmetric")
+    return mtx.read_dense(spark, path)
+
+
+@query("mtx_complex_roundtrip", f"with {arcs_sql(TRADE)} select src, dst, w as re, case when src < dst then w else -w end as im from arcs")
+def mtx_complex_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "mtx")
+    entries = _trade_arcs(spark, d).select("src", "dst", F.col("w").alias("re"), F.when(F.col("src") < F.col("dst"), F.col("w")).otherwise(-F.col("w")).alias("im"))
+    mtx.write_mtx(entries, path, 25, "complex", "hermitian")
+    return mtx.read_complex(spark, path)
+
+
+@query("stream_degrees", f"with {arcs_sql(COPART)} select src as id, count(*) as degree, sum(w) as weighted_degree from arcs group by 1")
+def stream_degrees(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "edges")
+    views.copart(spark, d).repartition(6, "u", "v").write.parquet(path)
+    return degrees_of_files(spark, path)
+
+
 @query("mtx_properties", f"with {arcs_sql(TRADE)} select cast(25 as bigint) as n_rows, cast(25 as bigint) as n_columns, count(*) as nnz from arcs")
 def mtx_properties(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "mtx")
@@ -376,7 +463,31 @@ def matching_of_lists(spark: SparkSession, d: str) -> DataFrame:
     return matching.locally_dominant(graph.canonical(memory.from_lists(spark, u, v, w, symmetric=True))).pairs
 
 
-query("ba_generator")(lambda s, d: generators.scale_free(s, 2000, 3))
+#: The generator in SQL, for 2,000 vertices that attach 3 times: the hash, and the trace of each edge to a known end.
+WORD = "18446744073709551616::uhugeint"
+
+
+def mix_sql(x: str, seed: int) -> str:
+    out = f"cast(({x} + {(seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF}::uhugeint) % {WORD} as ubigint)"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out = f"cast((cast(xor({out}, {out} >> {shift}) as uhugeint) * {factor}::uhugeint) % {WORD} as ubigint)"
+    return f"xor({out}, {out} >> 31)"
+
+
+def scale_free_sql(n: int, m: int, seed: int = 42) -> str:
+    owner = lambda e: f"case when {e} < {m} then 0 else {m} + 1 + ({e} - {m}) // {m} end"
+    arc = f"cast(({mix_sql('cast(pos as uhugeint)', seed)}) % cast(2 * ({m} + (pos - {m}) // {m} * {m}) as ubigint) as bigint)"
+    return f"""with recursive e as (select range as e from range({m + (n - m - 1) * m})),
+t(e, pos, target) as (
+  select e, e, case when e < {m} then e + 1 end from e
+  union all
+  select e, arc // 2, case when arc % 2 = 0 then {owner('(arc // 2)')} when arc // 2 < {m} then arc // 2 + 1 end
+  from (select e, pos, {arc} as arc from t where target is null)),
+edges as (select {owner('e')} as u, target as v, cast({mix_sql('cast(e as uhugeint)', seed + 1)} >> 11 as double) / 9007199254740992 as w from t where target is not null)
+select cast(u as bigint) as src, cast(v as bigint) as dst, w from edges union all select v, u, w from edges"""
+
+
+query("ba_generator", scale_free_sql(2000, 3))(lambda s, d: generators.scale_free(s, 2000, 3, uniform=True))
 query("ba_degree_sum", "select cast(2 * (3 + (2000 - 4) * 3) as bigint) as arcs, cast(2000 as bigint) as vertices, true as symmetric, true as positive")(
     lambda s, d: (
         lambda a: a.agg(F.count("*").alias("arcs"), F.countDistinct("src").alias("vertices"), (F.min("w") >= 0).alias("positive")).join(F.broadcast(graph.asymmetric(a).agg((F.count("*") == 0).alias("symmetric"))))

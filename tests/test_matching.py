@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators import matching
 from pairwright.operators.graph import arcs_of, asymmetric, canonical, checked, csr_offsets, dense_ids, running_sum
-from pairwright.operators.matching import eligible, locally_dominant, mate_weights, mutual, pointers
+from pairwright.operators.matching import eligible, locally_dominant, mate_weights, mutual, pointers, still_valid
 
 GOLDEN = [(0, 1, 0.1), (0, 2, 5.1), (1, 2, 3.1), (1, 3, 2.1), (1, 4, 1.1), (2, 3, 4.1), (3, 5, 7.2), (4, 5, 3.2)]
 NAN = float("nan")
@@ -141,6 +141,8 @@ def test_one_round(spark):
     assert {(x.u, x.p) for x in pointers(arcs).collect()} == {(0, 2), (1, 2), (2, 0), (3, 5), (4, 5), (5, 3)}
     once = mutual(pointers(arcs))
     assert {(x.u, x.v) for x in once.collect()} == {(0, 2), (3, 5)}
+    gone = once.select(F.explode(F.array("u", "v")).alias("id"))
+    assert {(x.u, x.p, x.valid) for x in still_valid(pointers(arcs), gone).collect()} == {(1, 2, False), (4, 5, False)}
     assert {(x.u, x.v, x.w) for x in mate_weights(once, arcs).collect()} == {(0, 2, 5.1), (3, 5, 7.2)}
 
 

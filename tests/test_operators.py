@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.bits import high_bit, int_log2
 from pairwright.operators import coloring, community, generators, partition, stats
-from pairwright.operators.graph import arcs_of, asymmetric, csr_offsets, vertices_of
+from pairwright.operators.graph import arc_positions, arcs_of, asymmetric, csr_offsets, vertices_of
 from tests.test_matching import GOLDEN, edges
 
 
@@ -89,6 +89,49 @@ def test_grid(spark, arcs):
     assert all(0 <= x.rank < 6 and 0 <= x.edge_part < 18 and 0 <= x.local_part < 3 for x in got)
 
 
+def test_ranges_within_ranges(spark, arcs):
+    offsets = csr_offsets(arcs)
+    got = partition.edge_balanced_within(offsets, partition.edge_balanced(offsets, 2), 2).orderBy("part", "batch").collect()
+    assert [tuple(x) for x in got] == [(0, 0, 0, 1), (0, 1, 1, 3), (1, 0, 3, 4), (1, 1, 4, 6)]  # arcs 0-9 and 9-16, cut near 4 (2 and 6 are as near) and 12
+    star = csr_offsets(arcs_of(edges(spark, [(0, i, 1.0) for i in range(1, 30)])))
+    ranges = partition.edge_balanced(star, 4)
+    got = partition.edge_balanced_within(star, ranges, 3).orderBy("part", "batch").collect()
+    assert [x.lo for x in got[1:]] == [x.hi for x in got[:-1]] and got[0].lo == 0 and got[-1].hi == 30 and len(got) == 12
+    assert partition.edge_balanced_within(star.filter("false"), partition.edge_balanced(star.filter("false"), 2), 2).agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] == 0
+
+
+def test_edge_ranks(spark):
+    ranks = [x.r for x in spark.range(600).select(partition.edge_rank(F.col("id"), 6).alias("r")).collect()]
+    assert set(ranks) == set(range(6)) and min(ranks.count(r) for r in range(6)) > 60
+
+
+def test_positions_of_a_hub_in_many_partitions(spark):
+    some = arcs_of(edges(spark, [(0, i, float(i)) for i in range(1, 500)] + [(i, i + 1, 1.0) for i in range(1, 60)]))
+    got = sorted((x.src, x.dst, x.pos) for x in arc_positions(some).collect())
+    want, at = [], {}
+    for a, b in sorted((x.src, x.dst) for x in some.collect()):
+        want.append((a, b, at.get(a, 0)))
+        at[a] = at.get(a, 0) + 1
+    assert got == want and arc_positions(some).columns == ["src", "dst", "w", "pos"]
+
+
+def test_offsets_count_vertices_without_arcs_of_their_own(spark):
+    one_way = spark.createDataFrame([(5, 9, 1.0), (5, 7, 1.0), (9, 3, 1.0)], "src long, dst long, w double")
+    assert sorted(map(tuple, csr_offsets(one_way).collect())) == [(3, 0, 0, 0, 0), (5, 1, 2, 0, 2), (7, 2, 0, 2, 2), (9, 3, 1, 2, 3)]
+
+
+def test_tables_go_with_their_context(spark, arcs):
+    from pairwright.plans.storage import _LIVE, temporary
+
+    before = list(_LIVE)
+    with temporary(spark):
+        assert csr_offsets(arcs).count() == 6 and len(_LIVE) > len(before)
+        with pytest.raises(ZeroDivisionError), temporary(spark):
+            csr_offsets(arcs)
+            raise ZeroDivisionError
+    assert _LIVE == before
+
+
 def test_bits(spark):
     values = [0, 1, 2, 3, 4, 2**31, 2**53 - 1, 2**53, 2**62, 2**63 - 1]
     got = spark.createDataFrame([(v,) for v in values], "x long").select("x", int_log2(F.col("x")).alias("l"), high_bit(F.col("x")).alias("b")).collect()
@@ -117,3 +160,13 @@ def test_stream_of_edges(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {x.id: x.degree for x in spark.table("degrees").collect()} == {0: 2, 1: 4, 2: 3, 3: 3, 4: 2, 5: 2}
+
+
+@pytest.mark.parametrize("files_at_once", [1, 3])
+def test_stream_of_files_in_batches(spark, tmp_path, files_at_once):
+    from pairwright.streaming.degrees import degrees_of_files
+
+    for i, row in enumerate(GOLDEN):
+        edges(spark, [row]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = degrees_of_files(spark, f"{tmp_path}/in", files_at_once)
+    assert {x.id: (x.degree, round(x.weighted_degree, 9)) for x in got.collect()} == {0: (2, 5.2), 1: (4, 6.4), 2: (3, 12.3), 3: (3, 13.4), 4: (2, 4.3), 5: (2, 10.4)}
