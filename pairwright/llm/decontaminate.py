@@ -20,7 +20,7 @@ OWN = ["n_words", "n_hit", "spans", "items", "longest"]
 #: much of the driver's memory and of each Python worker's, at most.
 BLOCK_BYTES = 4 << 20
 #: Words of documents in one suffix array.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Bytes to word bytes: A-Z become a-z, other ASCII but letters and digits separates words, all else stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 

@@ -170,7 +170,10 @@ CHECK_WORDS, FIRST_WORDS = 16, 4
 BUCKET = 1024
 #: Probability that two texts at the similarity agree in no block.
 MISS = 0.02
-MEMO = 300_000
+#: A worker forgets its words beyond so many.
+MEMO = 1 << 15
+#: Rows that are compared with all others of a block at a time, and so many of those.
+FRONT, SLICE = 64, 4096
 
 
 def bits_apart(similarity: float) -> float:
@@ -213,8 +216,8 @@ def long_print(text: bytes | None, hashes: WordHashes, words: int, size: int) ->
     for i in range(width):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + each[i : i + len(grams)]
     grams, counts = np.unique(grams), np.zeros(64 * size, np.int64)
-    for at in range(0, len(grams), 1 << 12):  # bounds the memory that a very long text takes
-        x = grams[at : at + (1 << 12), None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    for at in range(0, len(grams), 1 << 10):  # bounds the memory that a very long text takes
+        x = grams[at : at + (1 << 10), None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x ^= x >> np.uint64(31)
@@ -264,14 +267,14 @@ def _forest(own: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndar
     """
     a, b, left = [], [], np.arange(len(own))
     while len(left):
-        front, left = left[:256], left[256:]
+        front, left = left[:FRONT], left[FRONT:]
         x, y = np.nonzero(np.triu(_near(own[front], own[front], first, most), 1))
         a.append(front[x])
         b.append(front[y])
         while len(front) and len(left):
-            part, front, rest = front[:256], front[256:], []
-            for at in range(0, len(left), 8192):
-                some = left[at : at + 8192]
+            part, front, rest = front[:FRONT], front[FRONT:], []
+            for at in range(0, len(left), SLICE):
+                some = left[at : at + SLICE]
                 near = _near(own[part], own[some], first, most)
                 hit = near.any(0)
                 a.append(part[near[:, hit].argmax(0)])

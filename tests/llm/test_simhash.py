@@ -152,7 +152,7 @@ def test_forest_connects_what_all_pairs_connect():
     rows = rows[r.permutation(len(rows))]
     a, b = _forest(rows, 60, 40)
     far = np.bitwise_count(rows[:, None, :] ^ rows[None]).sum(2)
-    assert (far[a, b] <= 40).all() and len(a) < 256 * len(rows)
+    assert (far[a, b] <= 40).all() and len(a) < 64 * len(rows)
     x, y = np.nonzero(np.triu(far <= 40, 1))
     ids = list(range(len(rows)))
     assert brute_components(ids, list(zip(a.tolist(), b.tolist()))) == brute_components(ids, list(zip(x.tolist(), y.tolist())))
