@@ -38,6 +38,8 @@ def _own_root() -> str:
     return "file://" + folder
 
 
+#: Spark's setting that deletes shuffle files at the end of an execution.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths that this process made below the shared folder and has not deleted.
 _LIVE: list[str] = []
 
@@ -67,6 +69,18 @@ def temporary(spark: SparkSession, keep: Scratch | None = None):
             delete(spark, path)
 
 
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Within it, a job's shuffle files go when it ends, not when the driver happens to collect its garbage: what
+    a stored table needed is never asked for again."""
+    old = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if old is None else spark.conf.set(CLEAN, old)
+
+
 class Scratch:
     """The intermediate tables of one operator call.
 
@@ -80,7 +94,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = new_path(self.spark, f"{self.label}-{name}")
-        df.write.parquet(path)
+        with _cleaning(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
