@@ -98,9 +98,9 @@ def _gather(batches):
             else:
                 seen.update(found)
                 seen.add(b"")
-            joined = b" ".join(found)
-            pending[learn].append(joined)
-            size += len(joined)
+            low = (text or b"").lower()
+            pending[learn].append(low)
+            size += len(low)
             if size >= SLICE_BYTES:
                 settle()
     if chunk is not None:
@@ -286,13 +286,13 @@ def _score(total: int, distinct: int, slice_bytes: int = SLICE_BYTES):
         for i, held, text in zip(part.column("id").to_pylist(), part.column("held").to_pylist(), part.column("data").to_pylist()):
             words = [*tokens_of(text), b""]
             c = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            joined = b" ".join(words[:-1])
+            low = (text or b"").lower()
             rows.append([i, held, len(words), int((c > 0).sum()), float(np.log10(c + 1.0).sum()) - floor * len(words), 0.0])
-            if len(joined) < slice_bytes:
-                texts.append((rows[-1], joined))
-                size += len(joined)
+            if len(low) < slice_bytes:
+                texts.append((rows[-1], low))
+                size += len(low)
             else:  # a long text goes through in slices, each with the bytes before it as context
-                rows[-1][-1] = sum(float(tables(_slice_keys(joined, at, slice_bytes)).sum()) for at in range(0, len(joined) + 1, slice_bytes))
+                rows[-1][-1] = sum(float(tables(_slice_keys(low, at, slice_bytes)).sum()) for at in range(0, len(low) + 1, slice_bytes))
             if size >= slice_bytes or len(rows) == 4096:
                 together(texts, tables)
                 yield out(rows)
@@ -313,12 +313,12 @@ def _score(total: int, distinct: int, slice_bytes: int = SLICE_BYTES):
     return run
 
 
-def _slice_keys(joined: bytes, at: int, size: int) -> np.ndarray:
-    end = min(len(joined) + 1, at + size)
-    lead = joined[max(0, at - ORDER) : at]
-    keys, _ = grams([lead + joined[at:end]])
+def _slice_keys(low: bytes, at: int, size: int) -> np.ndarray:
+    end = min(len(low) + 1, at + size)
+    lead = low[max(0, at - ORDER) : at]
+    keys, _ = grams([lead + low[at:end]])
     keys = keys[len(lead) :]
-    return keys if end == len(joined) + 1 else keys[:-1]  # but for the last slice, the end is not there yet
+    return keys if end == len(low) + 1 else keys[:-1]  # but for the last slice, the end is not there yet
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -326,15 +326,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The model is the trie of all byte contexts up to order 5 of all training rows (crc32 of the id mod 7 is
     not 2; null ids are training rows), with escape method C and symbol exclusion. What is scored is
-    the words of the lower-cased text, joined by single spaces, and an end symbol. ``base_score`` is the
-    add-one unigram score of the same words and the end.
+    every byte of the lower-cased text, white space as it stands, and an end symbol. ``base_score`` is the
+    add-one unigram score of its words and the end.
 
     No table is broadcast or collected but the 256 x 256 counts of byte pairs: rows are dealt into
     chunks of bounded bytes, each chunk sends its distinct n-grams and words once, sums and
     probabilities are found per n-gram and word, and come back to the chunks that asked. The trie is worked out in
     groups of its two most recent context bytes, over distinct n-grams only.
 
-    Null and empty texts have one token, the end. Repeated rows are scored alike and each counted in training.
+    Null and empty texts have one token, the end. Repeated rows are scored alike and each counted in training; rows that repeat
+    both id and text lie in one chunk.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -346,7 +347,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), held.alias("held"), text.cast("binary").alias("data"))
     dealt = rows.select("chunk", ~F.col("held"), "data").repartitionById(chunks, "chunk").sortWithinPartitions("chunk")
     found = scratch.write(dealt.mapInArrow(_gather, "chunk int, key long, word binary, n long"), "found")
-    _free(spark)
     grams_, words = found.filter("key is not null").select("chunk", "key", "n"), found.filter("word is not null").select("chunk", "word", "n")
 
     counts = scratch.write(grams_.groupBy("key").agg(F.sum("n").alias("n")), "counts")
@@ -362,7 +362,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = scratch.write(grams_.join(chances, "key").select("chunk", "key", "p").mapInArrow(_pack(0), packed), "asked")
     named = scratch.write(words.drop("n").join(totals, "word").select("chunk", "word", "n").mapInArrow(_pack(1), packed), "named")
     scratch.drop(found, counts, chances, totals)
-    _free(spark)
 
     tables = asked.unionByName(named).select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"))
     texts = rows.select("chunk", F.lit(2).alias("kind"), "data", F.lit(None).cast("binary").alias("vals"), "id", "held")
@@ -370,15 +369,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = together.mapInArrow(_score(known.n, known.v, slice_bytes), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = scratch.write(out, "scores")
     scratch.drop(asked, named)
-    _free(spark)
     return out.withColumn("train_tokens", F.lit(known.n).cast("long"))
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that have ended: they hold the texts."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_texts(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id").select("doc_id", *OWN)

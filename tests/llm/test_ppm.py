@@ -28,7 +28,7 @@ class Brute:
         for i, text in rows:
             if not held(i):
                 self.words.update([*words(text), None])
-                stream = [0xFE] * ORDER + list(b" ".join(words(text))) + [0xFF]
+                stream = [0xFE] * ORDER + list((text or "").encode().lower()) + [0xFF]
                 for at in range(ORDER, len(stream)):
                     for order in range(ORDER + 1):
                         self.trie[tuple(stream[at - order : at])][stream[at]] += 1
@@ -47,7 +47,7 @@ class Brute:
         return out - math.log10(255 - len(self.trie.get((), {})))
 
     def score(self, text):
-        stream = [0xFE] * ORDER + list(b" ".join(words(text))) + [0xFF]
+        stream = [0xFE] * ORDER + list((text or "").encode().lower()) + [0xFF]
         return sum(self.symbol(stream[at - ORDER : at], stream[at]) for at in range(ORDER, len(stream)))
 
     def base(self, text):
@@ -59,7 +59,7 @@ def data():
     r = random.Random(6)
     parts = ["the", "of", "Tion", "ére", "a", "ing", "xÿ", "Qz"]
     say = lambda n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
-    texts = [None, "", " \t", "a", "A a", "new 日本 words!"] + [say(r.randint(1, 60)) for _ in range(60)]
+    texts = [None, "", " \t", "a", "A a", "new 日本 words!", "tabs\tand\n\nline  ends \r\n"] + [say(r.randint(1, 60)) for _ in range(60)]
     return list(enumerate(texts)) + [(70, texts[20]), (70, texts[20]), (None, "null id"), (None, None), (9, "same id")]
 
 
