@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -34,6 +35,22 @@ def test_every_low_code_point():
         assert mine.count(text) == theirs(text), hex(c)
 
 
+def test_every_assigned_code_point():
+    """Letters younger than Python's tables among them."""
+    mine, theirs = Counter(PATH), Tokenizer.from_file(PATH)
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = [len(e.ids) for e in theirs.encode_batch(part, add_special_tokens=False)]
+        assert [(t, mine.count(t)) for t in part] == list(zip(part, want))
+
+
+def test_files_of_other_kinds_are_an_error(spark):
+    for name in ("byte_bpe_50k.json",):
+        with pytest.raises(ValueError, match="another kind"):
+            count_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string"), public_tokenizers.path(name))
+
+
 def test_cache_is_bounded_and_whole_tokens_are_proven(monkeypatch):
     monkeypatch.setattr("pairwright.llm.tokens.CACHE", 5)
     mine, theirs = Counter(PATH), library()
