@@ -20,6 +20,8 @@ from pairwright.plans.storage import Scratch
 
 #: Labelled rows that the classifier learns from, at most: the only sample here.
 SAMPLE = 6000
+#: And as many of them, in the same order, as have so many features together, swapped twins included: what one task fits in about half a GB.
+SAMPLE_FEATURES = 8_000_000
 THRESHOLD = 0.3
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -250,12 +252,14 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float = FAIR) -> Model:
-    """Learn from the labelled rows that are not held out: of them the ``sample`` with the smallest hash of the id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float = FAIR, features: int = SAMPLE_FEATURES) -> Model:
+    """Learn from the labelled rows that are not held out: of them the ``sample`` with the smallest hash of the id, and of these,
+    in that order, as many as have at most ``features`` features (one at least).
 
     Rows with a null label or id teach nothing; a doc that is labelled more than once is toxic if any
-    label says so; of rows that repeat an id one counts. One task fits the model; its data has the
-    documented bound. Without any labelled row every score is one half.
+    label says so; of rows that repeat an id one counts, that with the smallest text. Null and empty texts are rows without
+    features. One task fits the model; its data has the two documented bounds, so long texts mean fewer rows and never cut
+    ones. Without any labelled row, and so with an empty table of documents or labels, every score is one half.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
@@ -263,9 +267,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fair: float
     chosen = scratch.write(chosen, "chosen")
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = met.select(F.col("doc_id").cast("string").alias("doc"), "toxic", "text").mapInArrow(_featurise, "doc string, toxic int, ids array<int>, vals array<float>, twins array<struct<ids:array<int>,vals:array<float>>>")
-    rows = scratch.write(rows, "rows")
+    rows = stored = scratch.write(rows, "rows")
+    size = F.size("ids") + F.aggregate("twins", F.lit(0), lambda n, t: n + F.size(t.ids))
+    held, last = 0, None  # of at most ``sample`` rows
+    for x in rows.select("doc", F.md5("doc").alias("h"), size.alias("n")).orderBy("h", "doc").collect():
+        held += x.n
+        if held > features and last is not None:
+            rows = rows.filter(F.struct(F.md5("doc").alias("h"), "doc") <= F.struct(F.lit(last.h).alias("h"), F.lit(last.doc).alias("doc")))
+            break
+        last = x
     got = rows.coalesce(1).mapInArrow(_fit_rows(fair), "ids array<long>, weights array<double>, bias double").first()
-    scratch.drop(chosen, rows)
+    scratch.drop(chosen, stored)
     if got is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, taught=False)
     return Model(np.array(got.ids, np.int64), np.array(got.weights), got.bias)
@@ -286,9 +298,11 @@ def toxic_score(text: Column, model: Model, spark: SparkSession) -> Column:
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score, predicted``, which replace columns of those names. Null and empty texts get the prior's score.
+    """``docs`` with ``score, predicted``, which replace columns of those names; all others stay. Null and empty texts get the
+    prior's score. A score at the threshold is predicted toxic.
 
-    A narrow pass over whole texts, without a shuffle; repeated rows get equal scores.
+    A narrow pass over whole texts, without a shuffle: the work is linear in a text, whose distinct words are held. Repeated rows get
+    equal scores, ids are not read, and an empty table gives an empty result.
     """
     out = without(docs, "score", "predicted")
     scored = out.withColumn("score", toxic_score(F.col(text_col), model, docs.sparkSession))
