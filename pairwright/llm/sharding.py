@@ -53,24 +53,50 @@ def splitters(keys: DataFrame, levels: list[str], weight: str, parts: int, toler
     ends = [(spread[f"lo{i}"], spread[f"hi{i}"] + 1) for i in range(len(levels))]
     cuts = [Cut(-(-i * total // parts), (), *ends[0], 0) for i in range(1, parts)]
     near = tolerance * total / parts
+    row = F.struct(*levels)
     while open_ := sorted({(c.prefix, c.low, c.high) for c in cuts if not c.done}):
-        cell = F.lit(None).cast("struct<r:int,p:bigint>")
-        widths = []
-        for r, (prefix, low, high) in enumerate(open_):
-            own, width = F.col(levels[len(prefix)]), max(1, -(-(high - low) // PROBES))
-            here = (own >= low) & (own < high)
-            for name, value in zip(levels, prefix):
-                here &= F.col(name) == value
-            probe = F.expr(f"({levels[len(prefix)]} - {low}L) div {width}L")
-            cell = F.when(here, F.struct(F.lit(r).alias("r"), probe.alias("p"))).otherwise(cell)
-            widths.append(width)
+        # Intervals don't overlap, so a row can only be in the last one that begins at or before it.
+        open_.sort(key=lambda x: _whole((*x[0], x[1]), len(levels)))
+        widths = [max(1, -(-(high - low) // PROBES)) for _, low, high in open_]
+        place = _at_or_below(row, [_whole((*p, low), len(levels)) for p, low, _ in open_], levels)
+        given = [*[[(p[i] if i < len(p) else 0) for p, _, _ in open_] for i in range(len(levels) - 1)], [len(p) for p, _, _ in open_], [low for _, low, _ in open_], [high for _, _, high in open_], widths]
+        *prefix, depth, low, high, width = [F.get(F.lit(x).cast("array<bigint>"), F.col("r")) for x in given]
+        own = F.get(F.array(*levels), depth.cast("int"))
+        inside = own < high
+        for i, value in enumerate(prefix):
+            inside &= (depth <= i) | (F.col(levels[i]) == value)
+        met = keys.withColumn("r", place - 1).filter(inside)  # before the first interval all of these are null
+        cells = met.select("r", (own - low).alias("x"), width.alias("w"), F.col(weight).alias("weight")).groupBy("r", F.expr("x div w").alias("p")).agg(F.sum("weight").alias("s"), F.count("*").alias("n"))
         got: dict[int, list] = {}
-        for x in keys.select(cell.alias("cell"), weight).filter("cell is not null").groupBy("cell").agg(F.sum(weight).alias("w"), F.count("*").alias("n")).collect():
-            got.setdefault(x.cell.r, []).append((x.cell.p, x.w, x.n))
-        cuts = [c if c.done else _narrow(c, sorted(got[r := open_.index((c.prefix, c.low, c.high))]), widths[r], ends, near) for c in cuts]
+        for x in cells.collect():
+            got.setdefault(x.r, []).append((x.p, x.s, x.n))
+        number = {x: i for i, x in enumerate(open_)}
+        cuts = [c if c.done else _narrow(c, sorted(got[r := number[c.prefix, c.low, c.high]]), widths[r], ends, near) for c in cuts]
     return [c.point() for c in cuts]
 
 
+def _whole(point: tuple, levels: int) -> tuple:
+    """A key that is given by its first columns, as the smallest whole key that begins so; keys are not negative."""
+    return (*point, *[0] * (levels - len(point)))
+
+
+def _at_or_below(row: Column, points: list[tuple], levels: list[str]) -> Column:
+    """How many of the sorted ``points`` are at or below a row: a binary search in a constant array, so that neither the
+    expression nor the work for a row grows with the number of points but by a logarithm."""
+    if not points:
+        return F.lit(0)
+    sorted_ = F.arrays_zip(*[F.lit([p[i] for p in points]).cast("array<bigint>").alias(c) for i, c in enumerate(levels)])
+
+    def step(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at.low + at.high, 1)
+        below = F.element_at(sorted_, mid + 1) <= row
+        on = at.low < at.high
+        return F.struct(F.when(on & below, mid + 1).otherwise(at.low).alias("low"), F.when(on & ~below, mid).otherwise(at.high).alias("high"))
+
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(points)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(points).bit_length())), begin, step, lambda at: at.low)
+
+
 def _narrow(cut: Cut, cells: list[tuple[int, int, int]], width: int, ends: list, near: float) -> Cut:
     sums, below = [], cut.below
     for _, w, _ in cells:
@@ -93,14 +119,7 @@ def _narrow(cut: Cut, cells: list[tuple[int, int, int]], width: int, ends: list,
 
 def part_of(points: list[tuple], levels: list[str]) -> Column:
     """How many of the splitters a row is at or beyond."""
-    out = F.lit(0)
-    for point in points:
-        beyond = F.lit(True)
-        for i, (name, value) in reversed(list(enumerate(zip(levels, point)))):
-            last = i == len(point) - 1
-            beyond = (F.col(name) >= value) if last else (F.col(name) > value) | ((F.col(name) == value) & beyond)
-        out = out + beyond.cast("int")
-    return out.cast("int")
+    return _at_or_below(F.struct(*levels), [_whole(p, len(levels)) for p in points], levels).cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None, tolerance: float = 0.0, keep_text: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.llm.mixing import REST, mix_sources, mixed, pfair, phases, whole_weights
-from pairwright.llm.sharding import shard_documents
+from pairwright.llm.sharding import part_of, shard_documents
 
 SCHEMA = "doc_id long, source string, text string, slot string, __note int"
 
@@ -126,6 +126,16 @@ def test_shards(spark, shards):
     assert len(got[0].asDict()) == len(df.columns) + 5
 
 
+def test_many_shards_take_no_longer_expressions(spark):
+    df = spark.createDataFrame([(i, "a", "t" * (i % 7), "", 0) for i in range(900)], SCHEMA)
+    got = sorted(shard_documents(df, 700).collect(), key=lambda x: (x.shard, x.slot))
+    assert [x.shard for x in got] == brute_shards([x["size"] for x in got], 700)
+    points = [(i * 3, i % 5) for i in range(300)]
+    keys = spark.createDataFrame([(k, g) for k in range(0, 910, 7) for g in range(6)], "k long, g long")
+    found = keys.select("k", "g", part_of(points, ["k", "g"]).alias("p"))
+    assert all(x.p == sum(p <= (x.k, x.g) for p in points) for x in found.collect())
+
+
 def test_shards_of_copies_of_a_key_and_of_nothing(spark):
     df = spark.createDataFrame([(7, "a", "one and the same", "", 0)] * 333, SCHEMA)
     sizes = Counter(x.shard for x in shard_documents(df, 16).collect())
