@@ -7,7 +7,7 @@ import math
 from bisect import bisect_left
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.frames import sheltering, sheltering_also, table, without
@@ -19,6 +19,8 @@ BLOCK_BYTES = 64 << 10
 MOST_PERIOD = 1_000_000
 #: Rows of a source that are numbered in one group, about.
 CELL_ROWS = 2048
+#: Rows with one hash (they repeat both id and text) beyond which these are numbered in groups of their own.
+HEAVY_ROWS = 16 * CELL_ROWS
 REST = "(rest)"
 OWN = ["mix_source", "mix_block", "mix_slot", "mix_offset"]
 WEIGHTS = {f"src{i}": 20 - i for i in range(20)}
@@ -94,7 +96,7 @@ def whole_weights(weights: dict[str, float], rest: float) -> dict[str, int]:
 
 
 @sheltering
-def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """``docs`` with ``mix_source, mix_block, mix_slot, mix_offset``, which replace columns of those names.
 
     Each source's rows, in a random but fixed order, are a stream of bytes (text and one more a row) cut
@@ -106,7 +108,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1, blo
     million slots, in a table of more blocks than that, are an error.
 
     A hot source is no group of its own: its rows are numbered in cells of a hash, and the cells' sums
-    come first. The schedule is a table of at most (sources + 1) squared rows, of a size that the
+    come first. Nor are rows that repeat id and text (or a text without an id): where they are more than ``heavy_rows``, they
+    are dealt to groups by their place in the input. The schedule is a table of at most (sources + 1) squared rows, of a size that the
     weights bound and not the data. Null texts count as empty; rows that repeat id and text follow each
     other; an empty table gives an empty result.
     """
@@ -121,32 +124,71 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], rest: float = 1, blo
         F.when(named, F.col(source_col)).otherwise(REST).alias("mix_source"),
         (F.octet_length(text) + 1).cast("long").alias("__n"),
         hash60(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text))).alias("__h"),
+        F.monotonically_increasing_id().alias("__m"),
     )
     # Hashes of 60 bits: the first 12 name an upper cell, and as many as make cells small a cell.
     upper = scratch.write(rows.groupBy("mix_source", F.shiftright("__h", 36).alias("__c")).agg(F.sum("__n").alias("n"), F.count("*").alias("rows")), "cells")
     total = upper.agg(F.sum("rows")).first()[0] or 0
     bits = min(24, max(0, (total // CELL_ROWS).bit_length()))
-    merged = upper.groupBy("mix_source", F.shiftright("__c", 24 - bits).alias("__cell")).agg(F.sum("n").alias("n"))
+    merged = upper.groupBy("mix_source", F.shiftright("__c", 24 - bits).alias("__cell")).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    keyed = rows.withColumn("__cell", F.shiftright("__h", 60 - bits))
+    full = scratch.write(merged.filter(F.col("rows") > heavy_rows).select("mix_source", "__cell"), "full")
+    inside = _plain(keyed) if full.isEmpty() else _by_heavy(keyed, full, heavy_rows, scratch)
     merged = merged.withColumn("top", F.shiftright("__cell", max(0, bits - 12)))
     tops = merged.groupBy("mix_source", "top").agg(F.sum("n").alias("n"))
-    return _place(rows, merged, tops, 60 - bits, weights, block_bytes, own.columns, scratch)
+    return _place(inside, merged, tops, weights, block_bytes, own.columns, scratch)
 
 
-def _place(rows, merged, tops, shift, weights, block_bytes, columns, scratch):
-    spark = rows.sparkSession
-    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = tops.select("mix_source", "top", before(["mix_source"], "top").alias("over"))
-    offsets = merged.withColumn("inside", before(["mix_source", "top"], "__cell")).join(tops, ["mix_source", "top"])
+def _before(keys: list[str], order: list[str], value: str = "n") -> Column:
+    """Sum of a column over the rows before, in an order within groups."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _plain(keyed: DataFrame) -> DataFrame:
+    """``__in``: the bytes of a row's cell before it."""
+    return keyed.withColumn("__in", _before(["mix_source", "__cell"], ["__h"], "__n")).drop("__m")
+
+
+def _by_heavy(keyed: DataFrame, full: DataFrame, heavy_rows: int, scratch: Scratch) -> DataFrame:
+    """The same where some hashes have very many rows: these are numbered in parts, and the others of the cell around them.
+
+    A heavy hash has over ``heavy_rows`` rows, so their list is that much shorter than the table; a cell's entries are one array.
+    """
+    cell = ["mix_source", "__cell"]
+    there = keyed.select(*cell, "__h", "__n").join(F.broadcast(full), cell)
+    counts = scratch.write(there.groupBy(*cell, "__h").agg(F.count("*").alias("rows"), F.sum("__n").alias("n")), "counts")
+    heavy = counts.filter(F.col("rows") > heavy_rows)
+    light = F.col("l.__h") < F.col("k.__h")
+    lights = heavy.alias("k").join(counts.filter(F.col("rows") <= heavy_rows).alias("l"), [F.col(f"k.{c}") == F.col(f"l.{c}") for c in cell] + [light], "left")
+    lights = lights.groupBy("k.mix_source", "k.__cell", "k.__h", "k.rows", "k.n").agg(F.coalesce(F.sum("l.n"), F.lit(0)).alias("light"))
+    entry = F.struct("__h", "n", "light", F.ceil(F.col("rows") / F.lit(CELL_ROWS)).cast("int").alias("parts"))
+    lists = scratch.write(lights.groupBy(*cell).agg(F.collect_list(entry).alias("__list")), "lists")
+    met = keyed.join(F.broadcast(lists), cell, "left")
+    mine = F.get(F.filter("__list", lambda x: x["__h"] == F.col("__h")), F.lit(0))
+    met = met.withColumn("__mine", mine).withColumn("__ahead", F.coalesce(F.aggregate(F.filter("__list", lambda x: x["__h"] < F.col("__h")), F.lit(0).cast("long"), lambda n, x: n + x["n"]), F.lit(0)))
+    met = met.withColumn("__part", F.coalesce(F.pmod(F.xxhash64("__m"), F.col("__mine.parts")), F.lit(-1))).withColumn("__own", F.when(F.col("__mine").isNotNull(), F.col("__h")).otherwise(-1))
+    group = [*cell, "__own", "__part"]
+    # Places in the input may come out otherwise a second time, so the rows that are dealt by them are stored with them.
+    dealt = scratch.write(met.filter("__part >= 0"), "dealt")
+    sums = dealt.groupBy(*group).agg(F.sum("__n").alias("n"))
+    sums = sums.select(*group, _before([*cell, "__own"], ["__part"]).alias("__parts_before"))
+    start = _before(group, ["__h", "__m"], "__n") + F.col("__ahead")
+    out = dealt.withColumn("__in", start + F.col("__mine.light")).join(sums, group).withColumn("__in", F.col("__in") + F.col("__parts_before"))
+    others = met.filter("__part < 0").withColumn("__in", start)
+    return others.unionByName(out.drop("__parts_before")).drop("__m", "__list", "__mine", "__ahead", "__part", "__own")
+
+
+def _place(inside, merged, tops, weights, block_bytes, columns, scratch):
+    spark = inside.sparkSession
+    tops = tops.select("mix_source", "top", _before(["mix_source"], ["top"]).alias("over"))
+    offsets = merged.withColumn("inside", _before(["mix_source", "top"], ["__cell"])).join(tops, ["mix_source", "top"])
     offsets = scratch.write(offsets.select("mix_source", "__cell", "n", (F.col("over") + F.col("inside")).alias("__before")), "offsets")
     blocks = {x.mix_source: -(-x.n // block_bytes) for x in offsets.groupBy("mix_source").agg(F.sum("n").alias("n")).collect()}  # a row a named source
     plan = spark.createDataFrame(
         [(p["source"], p["first"], p["last"], p["base"], p["period"], p["weight"], p["slots"]) for p in phases(weights, blocks)],
         "__s string, __first long, __last long, __base long, __period long, __weight long, __slots array<long>",
     )
-    inner = Window.partitionBy("mix_source", "__cell").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = rows.withColumn("__cell", F.shiftright("__h", shift))
-    within = F.coalesce(F.sum("__n").over(inner), F.lit(0))
-    placed = keyed.withColumn("__in", within).join(offsets.drop("n"), ["mix_source", "__cell"]).withColumn("__start", F.col("__in") + F.col("__before"))
+    placed = inside.join(offsets.drop("n"), ["mix_source", "__cell"]).withColumn("__start", F.col("__in") + F.col("__before"))
     placed = placed.withColumn("mix_block", F.expr(f"__start div {block_bytes}L"))
     met = placed.join(F.broadcast(plan), (F.col("mix_source") == F.col("__s")) & F.col("mix_block").between(F.col("__first"), F.col("__last")))
     step = F.col("mix_block") - F.col("__first")

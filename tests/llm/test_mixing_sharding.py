@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -105,6 +106,25 @@ def test_mix_blocks_and_order(spark):
     assert mix_sources(none, {"a": 1}).count() == 0 and mixed(none, {"a": 1}).columns == df.columns
 
 
+@pytest.mark.parametrize("heavy_rows", [1, 20, 10**6])
+def test_rows_that_repeat_are_numbered_in_groups_of_their_own(spark, monkeypatch, heavy_rows):
+    """A third of the rows is one row over and over, another text has no id; some others share their cells."""
+    monkeypatch.setattr("pairwright.llm.mixing.CELL_ROWS", 30)
+    all_rows = [*rows(300), *[(7, "a", "over and over", "s", 1)] * 200, *[(None, "a", "no id", "s", 1)] * 90, *[(None, "b", None, "s", 1)] * 50]
+    df = spark.createDataFrame(all_rows, SCHEMA).repartition(5)
+    got = mix_sources(df, {"a": 5, "b": 2, "c": 1}, block_bytes=500, heavy_rows=heavy_rows).collect()
+    assert Counter((x.doc_id, x.text) for x in got) == Counter((x[0], x[2]) for x in all_rows) and len(got[0]) == len(df.columns) + 4
+    order = {}
+    for x in got:
+        order.setdefault(x.mix_source, []).append((x.mix_block * 500 + x.mix_offset, len((x.text or "").encode()) + 1, hashlib.md5(f"{'' if x.doc_id is None else x.doc_id}:{hashlib.md5((x.text or '').encode()).hexdigest()}".encode()).hexdigest()[:15]))
+    for stream in order.values():
+        at = 0
+        for start, n, _ in sorted(stream):
+            assert start == at
+            at += n
+        assert [h for *_, h in sorted(stream)] == sorted(h for *_, h in stream)
+
+
 def brute_shards(sizes_in_order, shards):
     total, start, out = sum(sizes_in_order), 0, []
     for n in sizes_in_order:
