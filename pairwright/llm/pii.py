@@ -182,6 +182,7 @@ def _features(kind: str, span: str, before: str, after: str, words: str) -> tupl
         after[:1].isalnum() or after[:2].rstrip().endswith(("%", "/", "_")),
         len(left[1]) if left else 0,
         bool(left) and left[2] in (" ", "  "),
+        bool(left) and before[: left.start()].endswith("+"),
         len(right[2]) if right else 0,
         bool(right) and right[1] in (" ", "  "),
     )
@@ -275,7 +276,7 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
             c = card()
             s = r.choice([".", "_", "/", "  ", " - "][:3])
             return s.join(c[i : i + 4] for i in range(0, len(c), 4)) if r.random() < 0.6 else c
-        return r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(3)} {digits(4)}", f"0{digits(3)}/{digits(6)}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(3)}"])
+        return r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(3)} {digits(4)}", f"0{digits(3)}/{digits(6)}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"])  # the base pattern has the last one too, but for where a number follows
 
     def false(kind):
         if kind == "email":
@@ -293,13 +294,15 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         """A neighbour: another number of the kind if that is personal data, or a date, a count or a time."""
         if kind and r.random() < 0.6:
             return kind, true(kind)
-        return "", r.choice([f"{r.randint(1, 12):02}/{r.randint(1, 28):02}/20{digits(2)}", f"20{digits(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{digits(2)}", digits(r.randint(1, 4))])
+        return "", r.choice([".".join(str(r.randint(1, 255)) for _ in range(4)), f"{r.randint(1, 12):02}/{r.randint(1, 28):02}/20{digits(2)}", f"20{digits(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{digits(2)}", digits(r.randint(1, 4))])
 
     out = []
     while len(out) < n:
         kind, good = r.choice(KINDS), r.random() < 0.5
         span = true(kind) if good else false(kind)
-        if kind in ("ip", "phone") and good or kind == "card" and good:
+        if kind == "phone" and good and span[0] == "+":
+            lead = r.choice([*cue["phone"], *[""] * 6])
+        elif kind in ("ip", "phone", "card") and good:
             lead = r.choice(cue[kind])
         elif kind == "email" and good:
             lead = r.choice([*cue[kind], "", ""])
@@ -318,7 +321,8 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
             text += piece + r.choice([" ", " ", " ", "  "])
         text, last = text.rstrip(" "), len(text.rstrip(" "))
         text += f"{r.choice(['', '.', ',', ' '])} {say()}"
-        inside = [c for c in candidates(text) if c[0] == kind and c[1] < last and len(head) < c[2]]
+        base = base_spans(text)  # what overlaps these is never asked
+        inside = [c for c in candidates(text) if c[0] == kind and c[1] < last and len(head) < c[2] and not any(s < c[2] and c[1] < e for _, s, e in base)]
         if kind in ("email", "ip"):
             out += [(text, *c, int(good)) for c in inside[:1]]
         else:

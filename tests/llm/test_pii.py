@@ -122,7 +122,7 @@ def test_cases_written_by_hand():
     recall = {kind: np.mean([hit for hit, _ in x]) for kind, x in found.items()}
     right, wrong = sum(hit for x in found.values() for hit, _ in x), sum(n for x in found.values() for _, n in x) + sum(len(find(t, trained())[1]) for t in CLEAN)
     print(recall, right, wrong)
-    assert recall["email"] >= 0.9 and recall["ip"] >= 0.8 and recall["card"] >= 0.9 and recall["phone"] >= 0.4
+    assert recall["email"] >= 0.9 and recall["ip"] >= 0.8 and recall["card"] >= 0.9 and recall["phone"] >= 0.7
     assert right / (right + wrong) >= 0.95
 
 
@@ -151,11 +151,12 @@ def test_added_spans(text):
         ("phone (407) 555-7710 12/05/2024", ["(407) 555-7710"]),
         ("tel " + "407-555-7710 212-555-0199 " * 40, ["407-555-7710", "212-555-0199"] * 40),
         ("card 4111.1111.1111.1111 (407) 555-7710", ["4111.1111.1111.1111"]),
+        ("un. +1 (843) 555-7672 170.106.47.218 de", ["+1 (843) 555-7672"]),  # which the base pattern takes as one number, and drops
     ],
 )
 def test_numbers_next_to_each_other(text, want):
     base, added = find(text, trained())
-    assert not base and [text[s:e] for _, s, e, _ in sorted(added, key=lambda x: x[1])] == want
+    assert {k for k, *_ in base} <= {"ip"} and [text[s:e] for _, s, e, _ in sorted(added, key=lambda x: x[1])] == want
 
 
 def test_every_run_of_groups_is_proposed():
