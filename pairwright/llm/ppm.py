@@ -129,25 +129,30 @@ class Level:
             self.below = np.add.reduceat(lower.n[np.searchsorted(lower.keys, shorter(self.keys))], self.first)
 
 
-def log_probabilities(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def lower_levels(keys: np.ndarray, n: np.ndarray) -> dict[int, Level]:
+    """The trie's orders 0 to 2 from the counts of all symbols after two bytes (``keys`` distinct, sorted)."""
+    levels = {2: Level(keys, n)}
+    for order in (1, 0):
+        levels[order] = Level(*_tally(shorter(levels[order + 1].keys), levels[order + 1].n))
+        levels[order + 1].link(levels[order])
+    return levels
+
+
+def log_probabilities(keys: np.ndarray, n: np.ndarray, lower: dict[int, Level]) -> np.ndarray:
     """log10 probability of each n-gram's symbol after its context.
 
-    ``keys`` (distinct, sorted) with their training counts ``n`` are all n-grams of whole groups that share the two
-    most recent bytes; ``pairs[c, x]`` counts symbol x after byte c in all training rows.
+    ``keys`` (distinct, sorted) with their training counts ``n`` are all n-grams of whole groups that share the three
+    most recent bytes; ``lower`` has the orders below for all training rows.
 
     From the longest context down: a context that was seen gives its children count / (sum + children),
     and what is left to an escape. After an escape the children of the longer context are excluded:
     they count neither in the sum nor as children. Below order 0 all symbols that are left are equal.
     """
     learned = n > 0
-    levels = {ORDER: Level(keys[learned], n[learned])}
-    for order in range(ORDER - 1, 1, -1):
+    levels = {**lower, ORDER: Level(keys[learned], n[learned])}
+    for order in range(ORDER - 1, 2, -1):
         levels[order] = Level(*_tally(shorter(levels[order + 1].keys), levels[order + 1].n))
-    c, x = np.nonzero(pairs)
-    levels[1] = Level((c << 8 | x).astype(np.int64), pairs[c, x])
-    single = pairs.sum(0)
-    levels[0] = Level(np.flatnonzero(single).astype(np.int64), single[single > 0])
-    for order in range(1, ORDER + 1):
+    for order in range(3, ORDER + 1):
         levels[order].link(levels[order - 1])
     out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
     q, less, fewer = keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -170,14 +175,14 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.
     return out
 
 
-def _trie(pairs):
+def _trie(triples):
     def run(batches):
-        """Rows (key, n) sorted by key; a pass takes whole groups of the two most recent bytes."""
+        """Rows (key, n) sorted by key; a pass takes whole groups of the three most recent bytes."""
         rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        low = np.asarray(pairs.value)
+        low = lower_levels(*triples.value)
         for batch in batches:
             keys, n = np.append(rest[0], batch.column(0).to_numpy()), np.append(rest[1], batch.column(1).to_numpy())
-            cut = np.searchsorted(keys, keys[-1] >> 32 << 32) if len(keys) > 300_000 else 0
+            cut = np.searchsorted(keys, keys[-1] >> 24 << 24) if len(keys) > 300_000 else 0
             if cut:
                 yield emit(keys[:cut], n[:cut], low)
             rest = keys[cut:], n[cut:]
@@ -329,10 +334,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every byte of the lower-cased text, white space as it stands, and an end symbol. ``base_score`` is the
     add-one unigram score of its words and the end.
 
-    No table is broadcast or collected but the 256 x 256 counts of byte pairs: rows are dealt into
+    No table is broadcast or collected but the counts of symbols after two bytes, at most 2 ** 24: rows are dealt into
     chunks of bounded bytes, each chunk sends its distinct n-grams and words once, sums and
     probabilities are found per n-gram and word, and come back to the chunks that asked. The trie is worked out in
-    groups of its two most recent context bytes, over distinct n-grams only.
+    groups of its three most recent context bytes, over distinct n-grams only.
 
     Null and empty texts have one token, the end. Repeated rows are scored alike and each counted in training; rows that repeat
     both id and text lie in one chunk.
@@ -350,11 +355,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grams_, words = found.filter("key is not null").select("chunk", "key", "n"), found.filter("word is not null").select("chunk", "word", "n")
 
     counts = scratch.write(grams_.groupBy("key").agg(F.sum("n").alias("n")), "counts")
-    pairs = np.zeros((256, 256), np.int64)  # at most 65,536 rows
-    for x in counts.filter("n > 0").groupBy(F.shiftright("key", 8 * ORDER).alias("c"), F.col("key").bitwiseAND(F.lit(255).cast("long")).alias("x")).agg(F.sum("n").alias("n")).collect():
-        pairs[x.c, x.x] = x.n
-    grouped = counts.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
-    chances = scratch.write(grouped.mapInArrow(_trie(spark.sparkContext.broadcast(pairs)), "key long, p double"), "chances")
+    # At most 2 ** 24 rows of 16 bytes; text has a few hundred thousand.
+    after_two = F.shiftleft(F.shiftright("key", 32), 8) + F.col("key").bitwiseAND(F.lit(255).cast("long"))
+    triples = counts.filter("n > 0").groupBy(after_two.alias("k")).agg(F.sum("n").alias("n")).toArrow().sort_by("k")
+    triples = tuple(triples[c].to_numpy().astype(np.int64) for c in ("k", "n"))
+    grouped = counts.repartition(F.shiftright("key", 24)).sortWithinPartitions("key")
+    chances = scratch.write(grouped.mapInArrow(_trie(spark.sparkContext.broadcast(triples)), "key long, p double"), "chances")
     totals = scratch.write(words.groupBy("word").agg(F.sum("n").alias("n")), "totals")
     known = totals.filter("n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
 
