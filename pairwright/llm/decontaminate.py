@@ -97,6 +97,12 @@ class Tests:
         pairs = pairs[pairs % n > 0]
         return keys, ends, lengths, np.searchsorted(pairs // n, np.arange(len(keys) + 1)), pairs % n - 1
 
+    @cached_property
+    def window_heads(self) -> np.ndarray:
+        """The first two words of each window, as pairs; of a window of one word that and 0."""
+        first, second = _numbers(self.windows[0], self.window)[:, :2].T.astype(np.int64)
+        return first * (len(self.vocabulary) + 1) + second
+
     @cached_property
     def heads(self) -> np.ndarray:
         """Sorted pairs of words that follow each other, and the words that are a text of their own, as pairs with 0."""
@@ -170,11 +176,13 @@ def _shard(parts: list[np.ndarray], tests: Tests) -> list:
     longest = np.zeros(len(parts), np.int64)
     np.maximum.at(longest, doc_of(where), match_lengths(ids, where, keys, tests))
     windows, ends, lengths, first, items = tests.windows
-    low, high = np.searchsorted(keys, windows, "left"), np.searchsorted(keys, ends, "right")
-    seen = np.flatnonzero(high > low)
-    counts = (high - low)[seen]
+    pairs = ids[where].astype(np.int64) * (len(tests.vocabulary) + 1)
+    begun = np.flatnonzero(_among(tests.window_heads, np.union1d(pairs, pairs + ids[where + 1])))  # the others can't be here
+    low, high = np.searchsorted(keys, windows[begun], "left"), np.searchsorted(keys, ends[begun], "right")
+    there = high > low
+    seen, low, counts = begun[there], low[there], (high - low)[there]
     window = np.repeat(seen, counts)
-    rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low[seen], counts)
+    rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
     place = where[rank]
     doc = doc_of(place)
     out = [(int(n), np.zeros(0, np.int32), [], int(best)) for n, best in zip(sizes, longest)]
