@@ -30,7 +30,8 @@ LEAST_ROWS = 4
 ROUNDS = 300
 #: Weights of the absolute weights, the squared weights and the swapped scores' changes in what :func:`fit` makes small.
 SPARSE, SHRINK, FAIR = 5e-4, 2e-6, 1.0
-MEMO = 300_000
+#: A worker forgets its words beyond so many.
+MEMO = 1 << 16
 
 #: Terms that name groups of people, by kind and language. Those of one list stand for each other in a swap.
 IDENTITY = [
@@ -127,25 +128,34 @@ def swaps(words: Counter) -> list[Counter]:
 
 @dataclass
 class Rows:
-    """Sparse rows: bucket and value of each entry, and where each row begins."""
+    """Sparse rows: bucket and value of each entry, and how many entries each row has."""
 
     ids: np.ndarray
     values: np.ndarray
-    starts: np.ndarray
-    n: int
+    sizes: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return len(self.sizes)
 
     @staticmethod
     def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-        sizes = [len(i) for i, _ in parts]
         ids = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int32)
         values = np.concatenate([v for _, v in parts]) if parts else np.zeros(0, np.float32)
-        return Rows(ids, values, np.repeat(np.arange(len(parts)), sizes), len(parts))
+        return Rows(ids, values, np.array([len(i) for i, _ in parts], np.int64))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """By row, of a value for each entry."""
+        out, some = np.zeros(self.n, x.dtype), self.sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(x, (np.cumsum(self.sizes) - self.sizes)[some])
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.starts, w[self.ids] * self.values, self.n)
+        return self.sums(w[self.ids] * self.values)
 
     def back(self, r: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.ids, r[self.starts] * self.values, width)
+        return np.bincount(self.ids, np.repeat(r, self.sizes) * self.values, width)
 
 
 def fit(x: Rows, y: np.ndarray, pairs: Rows, fair: float = FAIR, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -163,7 +173,7 @@ def fit(x: Rows, y: np.ndarray, pairs: Rows, fair: float = FAIR, rounds: int = R
 
     def keep(rows: Rows) -> None:  # in place: the entries of rare features are not needed again
         own = often[rows.ids]
-        rows.ids, rows.values, rows.starts = place[rows.ids[own]], rows.values[own].astype(np.float64), rows.starts[own]
+        rows.ids, rows.values, rows.sizes = place[rows.ids[own]], rows.values[own], rows.sums(own.astype(np.int64))
 
     width = len(used)
     keep(x)
@@ -218,8 +228,7 @@ def _featurise(batches):
 
 def _arrow_rows(ids, values) -> Rows:
     ids, values = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (ids, values))
-    sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
-    return Rows(ids.flatten().to_numpy(), values.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes), len(ids))
+    return Rows(ids.flatten().to_numpy(), values.flatten().to_numpy(), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 def _fit_rows(fair: float):
