@@ -205,13 +205,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     n = classes.count()
     passes = passes or passes_for(n, threshold, window)
     bits = cell_bits(n, window)
-    hashed = classes.select("cls", "vec", F.size("vec").alias("dim"), F.posexplode(_hash(passes, seed)("vec")).alias("pass", "key"))
-    ordered = hashed.repartitionByRange("pass", "dim", "key", "cls").sortWithinPartitions("pass", "dim", "key", "cls")
+    # Stored with their keys: cutting them into ranges reads them twice, and cells once more.
+    before, classes = classes, scratch.write(classes.select("*", F.size("vec").alias("dim"), _hash(passes, seed)("vec").alias("keys")), "classes")
+    scratch.drop(before)
+    key = F.posexplode("keys").alias("pass", "key")
+    ordered = classes.select("cls", "vec", "dim", key).repartitionByRange("pass", "dim", "key", "cls").sortWithinPartitions("pass", "dim", "key", "cls")
     seen = scratch.write(ordered.mapInArrow(_windows(threshold, window, bits), "a long, b long, pass int, dim int, cell long").distinct(), "seen")
     near = scratch.write(connected_components(seen.select("a", "b")), "near")
 
     cell = ["pass", "dim", "cell"]
-    cells = hashed.select("cls", "pass", "dim", F.shiftright("key", BITS - bits).alias("cell")).join(near.withColumnRenamed("node", "cls"), "cls", "left")
+    cells = classes.select("cls", "dim", key).select("cls", "pass", "dim", F.shiftright("key", BITS - bits).alias("cell")).join(near.withColumnRenamed("node", "cls"), "cls", "left")
     cells = scratch.write(cells.select("cls", *cell, F.coalesce("component", "cls").alias("comp")), "cells")
     apart = cells.groupBy(*cell).agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     border = seen.filter("cell is not null").select(*cell, F.lit(True).alias("border")).distinct()
@@ -223,7 +226,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     more = scratch.write(dealt.mapInArrow(_within_cells(threshold), "a long, b long").distinct(), "more")
     found = scratch.write(connected_components(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)), "found")
 
-    joined = scratch.write(classes.join(found.withColumnRenamed("node", "cls"), "cls").withColumnRenamed("component", "comp"), "joined")
+    joined = scratch.write(classes.drop("dim", "keys").join(found.withColumnRenamed("node", "cls"), "cls").withColumnRenamed("component", "comp"), "joined")
     sizes = joined.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("g"), F.min("first").alias("low"))
     cut = joined.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("cls"), "g").cast("int"))
     units = cut.select("comp", "c", "n", "cls", "vec", other.alias("o")).select("comp", "o.i", "o.j", "c", "n", "cls", "vec")
