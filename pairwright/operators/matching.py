@@ -135,8 +135,9 @@ def locally_dominant(edges: DataFrame, least: float = LEAST_WEIGHT, strict: bool
     now, left = scratch.counted(eligible(edges, least, strict).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("w").cast("double").alias("w")), "edges")
     found, rounds, chosen = [], 0, None
     while left > finish_edges:
+        again = left > 2 * finish_edges  # else this is likely the last round, and pointers need not be kept
         if chosen is None:
-            chosen = scratch.write(pointers(arcs_of(now)), "pointers")
+            chosen = scratch.write(pointers(arcs_of(now)), "pointers") if again else pointers(arcs_of(now))
         pairs, n = scratch.counted(mutual(chosen), "pairs")
         found.append(pairs)
         rounds += 1
@@ -145,7 +146,7 @@ def locally_dominant(edges: DataFrame, least: float = LEAST_WEIGHT, strict: bool
         before = now
         now, left = scratch.counted(prune(now, matched, few), "edges")
         scratch.drop(before)
-        before, chosen = chosen, _anew(scratch, still_valid(chosen, matched, few), now) if left > finish_edges else None
+        before, chosen = chosen, _anew(scratch, still_valid(chosen, matched, few), now) if again and left > finish_edges else None
         scratch.drop(before)
     if left:
         rest = scratch.write(now.coalesce(1).mapInArrow(_greedy, EDGES), "rest")
