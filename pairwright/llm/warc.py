@@ -271,7 +271,8 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
 
 
 def find_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``path, bytes`` of the archives in a folder; their contents are not read."""
+    """``path, bytes`` of the archives in a folder; their contents are not read. Empty files are listed with 0 bytes, files of
+    other names are not; a folder without archives gives an empty result, as long as it is there."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", F.col("length").alias("bytes"))
 
 
