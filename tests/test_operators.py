@@ -70,6 +70,35 @@ def test_coloring_is_the_same_either_way(spark):
     assert coloring.color(some.filter("false"), spark.range(0)).count() == 0
 
 
+def greedy(pairs, ids, rank):
+    """Through the vertices by descending rank, each with the smallest colour that no neighbour has."""
+    near, out = {i: set() for i in ids}, {}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    for i in sorted(ids, key=rank, reverse=True):
+        taken = {out[n] for n in near[i] if n in out}
+        out[i] = next(c for c in range(len(near[i]) + 1) if c not in taken)
+    return out
+
+
+def test_rounds_of_a_coloring_are_fewer_than_its_longest_path(spark, monkeypatch):
+    stored, write = [], coloring.Scratch.write
+    monkeypatch.setattr(coloring.Scratch, "write", lambda self, df, name="t": stored.append(f"{self.label}-{name}") or write(self, df, name))
+    pairs = [(i, i + 1) for i in range(59)] + [(i, 100 + j) for i in range(12) for j in range(6)]
+    ids = sorted({x for p in pairs for x in p})
+    got = coloring.color(arcs_of(edges(spark, [(a, b, 1.0) for a, b in pairs])), spark.createDataFrame([(i,) for i in ids], "id long"), F.col("id"), finish_arcs=20)
+    assert {x.id: x.color for x in got.collect()} == greedy(pairs, ids, lambda i: i)
+    assert stored.count("coloring-open") <= 16
+
+
+def test_vertices_with_more_arcs_than_one_task_takes(spark):
+    pairs = [(0, i) for i in range(1, 50)] + [(i, i + 1) for i in range(1, 49)]
+    for sign in (1, -1):  # the hub is the last, or the first
+        got = coloring.color(arcs_of(edges(spark, [(a, b, 1.0) for a, b in pairs])), spark.range(52), sign * F.col("id"), finish_arcs=30)
+        assert {x.id: x.color for x in got.collect()} == greedy(pairs, range(52), lambda i: sign * i)
+
+
 def test_ranges(spark, arcs):
     offsets = csr_offsets(arcs)
     ranges = lambda df: [(x.lo, x.hi) for x in df.orderBy("part").collect()]
