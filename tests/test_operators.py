@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.bits import high_bit, int_log2
 from pairwright.operators import coloring, community, generators, partition, stats
 from pairwright.operators.graph import arc_positions, arcs_of, asymmetric, csr_offsets, vertices_of
+from pairwright.plans import registry
 from tests.test_matching import GOLDEN, edges
 
 
@@ -199,3 +200,10 @@ def test_stream_of_files_in_batches(spark, tmp_path, files_at_once):
         edges(spark, [row]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     got = degrees_of_files(spark, f"{tmp_path}/in", files_at_once)
     assert {x.id: (x.degree, round(x.weighted_degree, 9)) for x in got.collect()} == {0: (2, 5.2), 1: (4, 6.4), 2: (3, 12.3), 3: (3, 13.4), 4: (2, 4.3), 5: (2, 10.4)}
+
+
+def test_coloring_check_derives_its_graph_once(spark, monkeypatch):
+    stored, write = [], registry.Scratch.write
+    monkeypatch.setattr(registry.Scratch, "write", lambda self, df, name="t": stored.append(f"{self.label}-{name}") or write(self, df, name))
+    got = registry.QUERIES["coloring_check"](spark, "/root/testdata/sf0.001")
+    assert [tuple(x) for x in got.collect()] == [(0, True)] and stored.count("graph-edges") == 1
