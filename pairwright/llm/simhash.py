@@ -2,17 +2,20 @@
 
 Two kinds of links. :func:`near_groups` links fingerprints of 64 bits that differ in a few bits; all of them, as
 such a pair must agree in most of its blocks. :func:`similar_groups` links texts whose sets of shingles are alike, where
-fingerprints differ in a seventh of their bits: there blocks are many and short, and one agrees with a stated probability.
+fingerprints differ in a seventh of their bits: there blocks of long fingerprints find most links, and the rarest shingles
+of every text all that are left.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,6 +175,10 @@ BUCKET = 1024
 MISS = 0.02
 #: A worker forgets its words beyond so many.
 MEMO = 1 << 15
+#: Rows that the order of shingles is found on, and how many frequent ones it tells apart.
+ORDER_ROWS, COMMON = 8192, 1 << 16
+#: First shingles that are dealt to one unit of work (20 bytes each), and units at least; pairs that wait for their neighbours.
+DEALT, UNITS, HELD = 1 << 19, 48, 1 << 20
 #: Rows that are compared with all others of a block at a time, and so many of those.
 FRONT, SLICE = 64, 4096
 
@@ -206,16 +213,23 @@ class WordHashes(dict):
         return got
 
 
-def long_print(text: bytes | None, hashes: WordHashes, words: int, size: int) -> np.ndarray:
-    """SimHash of the set of word shingles in ``size`` 64-bit words; all ones where the text has no word."""
+def grams_of(text: bytes | None, hashes: WordHashes, words: int) -> np.ndarray:
+    """The set of word shingles, as sorted 64-bit hashes."""
     found = (text or b"").lower().split()
     if not found:
-        return np.full(size, -1, np.int64)
+        return np.empty(0, np.uint64)
     each, width = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)), min(words, len(found))
-    grams = np.zeros(len(found) - width + 1, np.uint64)
+    grams = np.full(len(found) - width + 1, width, np.uint64)
     for i in range(width):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + each[i : i + len(grams)]
-    grams, counts = np.unique(grams), np.zeros(64 * size, np.int64)
+    return np.unique(grams)
+
+
+def long_print(grams: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of a set of shingles in ``size`` 64-bit words; all ones where there is none."""
+    if not len(grams):
+        return np.full(size, -1, np.int64)
+    counts = np.zeros(64 * size, np.int64)
     for at in range(0, len(grams), 1 << 10):  # bounds the memory that a very long text takes
         x = grams[at : at + (1 << 10), None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -225,24 +239,77 @@ def long_print(text: bytes | None, hashes: WordHashes, words: int, size: int) ->
     return np.packbits(2 * counts > len(grams), bitorder="little").view(np.int64)
 
 
-def _keyed_print(text, words: int, bits: int, blocks: int):
-    """Column: the words of the check, and the blocks."""
+def parity(grams: np.ndarray) -> np.ndarray:
+    """At least 1,024 bits and as many as shingles, each the parity of the shingles that fall on it: two sets differ in at least as
+    many shingles as bits. A power of two: a longer row of bits becomes a shorter one by folding."""
+    bits = max(64 * CHECK_WORDS, 1 << (len(grams) - 1).bit_length() if len(grams) else 0)
+    return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def parities_apart(x: bytes, y: bytes) -> int:
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum(dtype=np.int64))
+
+
+def prefix_of(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in an order that all sets share: so many that two sets at the similarity have one of them in
+    common. ``common`` are hashes, sorted, and their places at the end of the order; before them are all others, by hash."""
+    size = len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1 if len(grams) else 0
+    values, places = common
+    if not len(values):
+        return grams[:size]
+    at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
+    hit = values[at] == grams
+    rare = grams[~hit]
+    return rare[:size] if len(rare) >= size else np.append(rare, grams[hit][np.argsort(places[at[hit]])])[:size]
+
+
+def _described(text, words: int, similarity: float, bits: int, blocks: int, common: tuple[np.ndarray, np.ndarray]):
+    """Column of what a text is compared by: a digest of its set of shingles, how many there are, the words of the check and the
+    blocks, the parities, and the first shingles."""
     per = 64 // bits if bits else 1
     size = CHECK_WORDS + (-(-blocks // per) if bits else 0)
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        hashes, out = _hashes(), np.empty(len(texts), object)
-        for i, text in enumerate(texts):
-            whole = long_print(text, hashes, words, size)
+    @F.pandas_udf("digest binary, n long, fp array<long>, parity binary, prefix binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        hashes, out = _hashes(), []
+        for text in texts:
+            grams = grams_of(text, hashes, words)
+            whole = long_print(grams, size)
             rest = whole[CHECK_WORDS:].view(np.uint64)
             cut = [(rest[b // per] >> np.uint64(b % per * bits)) & np.uint64((1 << bits) - 1) for b in range(blocks)] if bits else [0]
-            out[i] = np.append(whole[:CHECK_WORDS], np.array(cut, np.int64))
-        return pd.Series(out)
+            fp = np.append(whole[:CHECK_WORDS], np.array(cut, np.int64))
+            out.append((hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), len(grams), fp, parity(grams).tobytes(), prefix_of(grams, common, similarity).tobytes()))
+        return pd.DataFrame(out, columns=["digest", "n", "fp", "parity", "prefix"])
 
     return of(text.cast("binary"))
 
 
+def _grams(words: int, batches):
+    """Rows (cls, text): the shingles of each."""
+    for batch in batches:
+        sets = [grams_of(t, _hashes(), words).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "grams"])
+
+
+def _each_gram(words: int, batches):
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(grams_of(t, _hashes(), words).view(np.int64))], ["gram"])
+
+
+def common_grams(docs: DataFrame, text_col: str, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts share, and their order, from the rarer to the more frequent. They are found on about ``ORDER_ROWS`` rows: any order
+    gives the same links, this one few candidates."""
+    text = F.col(text_col).cast("binary")
+    some = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64(text), F.lit(max(1, n // ORDER_ROWS))) == 0)
+    seen = some.mapInArrow(partial(_each_gram, words), "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 3")
+    rows = seen.orderBy(F.desc("n"), "gram").limit(COMMON).collect()
+    values = np.array([x.gram for x in rows], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], -order
+
+
 @lru_cache(1)
 def _hashes() -> WordHashes:
     """The word hashes of a Python worker."""
@@ -299,44 +366,173 @@ def _block_links(first: int, most: int, batches):
 
 
 def _links_of(rows: np.ndarray, first: int, most: int):
+    """Of the links of a block one for each row: what that leaves out is found by the first shingles."""
     a, b = [], []
     borders = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else []
     for s, e in zip(borders, [*borders[1:], len(rows)]):
         if e - s > 1:
             x, y = _forest(np.ascontiguousarray(rows[s:e, 2:]).view(np.uint64), first, most)
-            a.append(rows[s:e, 1][x])
+            y, at = np.unique(y, return_index=True)
+            a.append(rows[s:e, 1][x[at]])
             b.append(rows[s:e, 1][y])
     if a:
-        yield stars(np.concatenate(a), np.concatenate(b))
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield _pair_batch(np.minimum(a, b), np.maximum(a, b))
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _deal(units: int, batches):
+    """Rows (cls, component, prefix): a row for each unit, with the shingles that fall to it (32 bits of each), their classes and components."""
+    for batch in batches:
+        prefixes = batch.column(2).to_pylist()
+        n = np.array([len(x) // 8 for x in prefixes], np.int64)
+        grams = np.frombuffer(b"".join(prefixes), np.uint64)
+        unit = (grams % np.uint64(units)).astype(np.int64)
+        order = np.argsort(unit, kind="stable")
+        columns = [((grams // np.uint64(units)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n)]
+        columns = [c[order] for c in columns]
+        found, at = np.unique(unit[order], return_index=True)
+        ends = np.append(at[1:], len(unit))
+        blobs = [pa.array([c[s:e].tobytes() for s, e in zip(at, ends)], pa.binary()) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *blobs], ["unit", "gram", "cls", "component"])
+
+
+def _meet(batches):
+    """Rows arrive sorted by unit: pairs of classes in different components that share one of their first shingles."""
+    own, held = None, []
+    for batch in batches:
+        for unit, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+            if unit != own and held:
+                yield from _pairs_of(held)
+                held = []
+            own = unit
+            held.append(blobs)
+    if held:
+        yield from _pairs_of(held)
+
+
+def _pairs_of(held: list):
+    gram, cls, component = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint32, np.int64, np.int64)))
+    order = np.argsort(gram, kind="stable")
+    gram, cls, component = gram[order], cls[order], component[order]
+    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    sizes = np.diff(np.append(starts, len(gram)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    found, waiting = [], 0
+
+    def met():
+        pairs = np.unique(np.stack([np.concatenate([np.minimum(cls[x], cls[y]) for x, y in found]), np.concatenate([np.maximum(cls[x], cls[y]) for x, y in found])], 1), axis=0)
+        found.clear()
+        yield _pair_batch(pairs[:, 0], pairs[:, 1])
+
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 64), sizes))
+    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
+        at = at[at + d < len(gram)]
+        at = at[run[at] == run[at + d]]
+        x = at[component[at] != component[at + d]]
+        found.append((x, x + d))
+        waiting += len(x)
+        if waiting > HELD:
+            yield from met()
+            waiting = 0
+    for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
+        own = component[s : s + n]
+        for i in range(0, n, 64):
+            for j in range(i, n, 1 << 14):  # bounds the memory that a frequent shingle takes
+                x, y = np.nonzero(own[i : i + 64, None] != own[None, j : j + (1 << 14)])
+                x, y = x + i, y + j
+                later = x < y
+                found.append((s + x[later], s + y[later]))
+                waiting += int(later.sum())
+                if waiting > HELD:
+                    yield from met()
+                    waiting = 0
+    if waiting:
+        yield from met()
+
+
+def _possible(similarity: float, batches):
+    """Pairs whose sizes and parities allow the similarity."""
+    for batch in batches:
+        a, b, m, n = (batch.column(c).to_numpy() for c in ("a", "b", "m", "n"))
+        keep, most = np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9, (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9
+        x, y = batch.column("x"), batch.column("y")
+        for i in np.flatnonzero(keep):
+            keep[i] = parities_apart(x[i].as_py(), y[i].as_py()) <= most[i]
+        yield _pair_batch(a[keep], b[keep])
+
+
+def _alike(similarity: float, batches):
+    """Pairs whose sets of shingles have the similarity."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
+        yield _pair_batch(*(batch.column(c).to_numpy()[np.array(keep, bool)] for c in ("a", "b")))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key, text, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs (a, b)`` of classes that have the similarity, by all their shingles."""
+    side = lambda df, c, *names: df.select(F.col("cls").alias(c), *[F.col(x).alias(y) for x, y in names])
+    sized = pairs.join(side(classes, "a", ("n", "m"), ("parity", "x")), "a").join(side(classes, "b", ("n", "n"), ("parity", "y")), "b")
+    possible = scratch.write(sized.mapInArrow(partial(_possible, similarity), "a long, b long"), "possible")
+    asked = possible.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    first = classes.join(asked, "cls", "left_semi").select("cls", F.col("first.row_key").alias("row_key"))
+    met = docs.select(key.alias("row_key"), text.cast("binary").alias("text")).join(first, "row_key").select("cls", "text")
+    sets = scratch.write(met.mapInArrow(partial(_grams, words), "cls long, grams binary").dropDuplicates(["cls"]), "sets")
+    both = possible.join(side(sets, "a", ("grams", "x")), "a").join(side(sets, "b", ("grams", "y")), "b")
+    links = scratch.write(both.select("a", "b", "x", "y").mapInArrow(partial(_alike, similarity), "a long, b long"), "links")
+    scratch.drop(possible, sets)
+    return links
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, row_key, component_id, rep``, as :func:`near_groups` has them.
 
-    Links are between texts whose sets of ``words``-word shingles (lower-cased as op2 does) have about that Jaccard
-    similarity or more: their fingerprints of 1,024 bits differ in at most :func:`most_apart` bits. At 0.8 that holds for 93 % of
-    pairs, at 0.85 for all but 1 in 10,000, at 0.75 for 37 %, at 0.7 for 2 %. Candidates agree in a block of further bits;
-    :func:`cut_for` says how many there are, and a pair at the similarity is met but for 2 %.
+    Links are between all texts whose sets of ``words``-word shingles (lower-cased as op2 does) have that Jaccard similarity or
+    more, and no others. Rows with the same set are one class. Pairs of classes are found in two ways, and every pair is
+    verified by all its shingles. First by fingerprints of 1,024 bits that are near and agree in a block of further bits, which
+    finds most (:func:`cut_for`, :func:`most_apart`). Then, between the components of that, by :func:`prefix_of`: two
+    sets at the similarity share one of their first shingles, a fifth of each, so none is left out. Near copies are one component by
+    then and meet nobody.
 
-    Rows with the same fingerprint are one class. A block's rows have 144 bytes each and are worked on by one task, in slices of
-    bounded memory; which class is compared with which follows from the whole table, nothing is capped. Null and empty texts
-    are alike and like nothing else. An empty table gives an empty result. Extra columns are not read.
+    Work on what is left grows with the square of the texts of different components that share a shingle that is among the first ones of
+    each; frequent ones come last. Nothing is capped. Null and empty texts are alike and like nothing else. An empty table gives an
+    empty result. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    bits, blocks = cut_for(docs.count(), similarity)
-    prints = scratch.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), _keyed_print(F.col(text_col), words, bits, blocks).alias("fp")), "prints")
+    total = docs.count()
+    bits, blocks = cut_for(total, similarity)
+    common = common_grams(docs, text_col, words, total)
+    key, text = row_key(id_col, text_col), F.col(text_col)
+    prints = scratch.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("row_key"), _described(text, words, similarity, bits, blocks, common).alias("d")).select("doc_id", "row_key", "d.*"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
-    classes = scratch.write(prints.groupBy("fp").agg(first).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    same = F.first(F.struct("n", "fp", "parity", "prefix")).alias("s")
+    classes = scratch.write(prints.groupBy("digest").agg(first, same).select("digest", "first", "s.*").withColumn("cls", F.monotonically_increasing_id()), "classes")
+    verified = partial(_verified, classes=classes, docs=docs, key=key, text=text, words=words, similarity=similarity, scratch=scratch)
     keyed = classes.select("cls", "fp", F.posexplode(F.slice("fp", CHECK_WORDS + 1, blocks)).alias("t", "k"))
     block = F.shiftleft(F.col("t").cast("long"), 48) + F.col("k")
     dealt = keyed.select(block.alias("block"), "cls", *[F.element_at("fp", i + 1).alias(f"c{i}") for i in range(CHECK_WORDS)]).repartition("block").sortWithinPartitions("block")
-    links = scratch.write(dealt.mapInArrow(partial(_block_links, most_apart(similarity, FIRST_WORDS, 4), most_apart(similarity)), "a long, b long").distinct(), "links")
-    found = scratch.write(connected_components(links), "found")
-    of = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    near = scratch.write(dealt.mapInArrow(partial(_block_links, most_apart(similarity, FIRST_WORDS, 4), most_apart(similarity)), "a long, b long").distinct(), "near")
+    links = verified(near)
+    before = scratch.write(connected_components(links), "before")
+    grams = (classes.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8
+    placed = classes.join(before.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "prefix")
+    units = placed.mapInArrow(partial(_deal, max(UNITS, grams // DEALT)), "unit long, gram binary, cls binary, component binary")
+    scratch.drop(near)
+    met = scratch.write(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_meet, "a long, b long").distinct(), "met")
+    rest = verified(met)
+    found = scratch.write(connected_components(links.unionByName(rest)), "found")
+    of = classes.select("digest", "cls", "first").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     firsts = of.groupBy("component").agg(F.min("first").alias("lead"))
-    of = scratch.write(of.join(firsts, "component").select("fp", F.col("lead.doc_id").alias("component_id"), F.col("lead.row_key").alias("lead_key")), "of")
-    scratch.drop(classes, links, found)
-    return prints.join(of, "fp").select("doc_id", "row_key", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("lead_key"))).alias("rep"))
+    of = scratch.write(of.join(firsts, "component").select("digest", F.col("lead.doc_id").alias("component_id"), F.col("lead.row_key").alias("lead_key")), "of")
+    scratch.drop(classes, links, before, met, rest, found)
+    return prints.join(of, "digest").select("doc_id", "row_key", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("lead_key"))).alias("rep"))
 
 
 @sheltering

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pairwright.llm.components import connected_components
-from pairwright.llm.simhash import _forest, bits_apart, block_masks, blocks_for, close_links, cut_for, dedupe, near_groups, similar_groups
+from pairwright.llm.simhash import _forest, bits_apart, block_masks, blocks_for, close_links, cut_for, dedupe, near_groups, parities_apart, parity, similar_groups
 
 SCHEMA = "doc_id long, text string, fp string, __note int"
 
@@ -138,6 +138,37 @@ def test_similar_texts_against_brute_force(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, x in got.items() if x.rep)
 
 
+def test_all_links_at_the_similarity_and_no_others(spark):
+    """Many pairs around 0.8, in a table with frequent lines: components equal those of an exact join."""
+    r = random.Random(11)
+    vocab, lines = [f"w{i}" for i in range(4000)], [" ".join(f"l{j}x{i}" for i in range(9)) for j in range(3)]
+    out = [" ".join("abcdefghijklm"[:9]), " ".join("abcdefghijklm"[:8])]  # four of five shingles: 0.8
+    for b in range(150):
+        base = [r.choice(vocab) for _ in range(r.choice([30, 60, 120, 240]))]
+        out.append(" ".join(base))
+        for _ in range(3):
+            near = list(base)
+            for _ in range(max(1, round(len(base) / r.uniform(35, 55)))):
+                near[r.randrange(len(near))] = r.choice(vocab)
+            out.append(" ".join(near))
+    out += [f"{r.choice(lines)} {' '.join(r.choices(vocab, k=r.choice([1, 4, 40])))}" for _ in range(150)]
+    sets = {i: shingles(t) for i, t in enumerate(out)}
+    alike = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and jaccard(sets[a], sets[b]) >= 0.8]
+    close = [p for p in alike if jaccard(sets[p[0]], sets[p[1]]) < 0.83]
+    got = {x.doc_id: x for x in similar_groups(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(out)], SCHEMA)).collect()}
+    assert len(close) > 30 and {i: x.component_id for i, x in got.items()} == brute_components(list(sets), alike)
+
+
+def test_parities_never_differ_in_more_than_the_sets():
+    r = np.random.default_rng(4)
+    for n in (1, 30, 1000, 1100, 2000, 9000):
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.append(x[: n - n // 9], r.integers(0, 2**63, n // 7, dtype=np.uint64)))
+        z = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        assert parities_apart(parity(x).tobytes(), parity(y).tobytes()) <= len(np.setxor1d(x, y))
+        assert n < 30 or parities_apart(parity(x).tobytes(), parity(z).tobytes()) > 2 * n / 9
+
+
 def test_more_rows_take_longer_blocks_and_more_of_them():
     for n in (10, 5000, 10**6, 10**9):
         bits, blocks = cut_for(n)
