@@ -5,7 +5,7 @@ again as the ``docs`` of the next. All but the last return the columns of ``docu
 
 toxicity          documents that the classifier predicts toxic go; none, if no labelled row taught it
 near_duplicates   of texts whose five-word shingles are alike by 0.8 or more the document with the smallest id
-                  stays: SimHash fingerprints that agree in a block and are as near as that similarity makes them
+                  stays: blocks of SimHash fingerprints, then the first shingles of what is left; all links verified
 decontamination   documents with a benchmark passage go
 mixing            all documents, stored in the order of the Pfair mixture
 sharding          ranges of that order with equal bytes. The mixture has its target weights up to the slot

@@ -177,7 +177,7 @@ MISS = 0.02
 MEMO = 1 << 15
 #: Rows that the order of shingles is found on, and how many frequent ones it tells apart.
 ORDER_ROWS, COMMON = 8192, 1 << 16
-#: First shingles that are dealt to one unit of work (20 bytes each), and units at least; pairs that wait for their neighbours.
+#: First shingles that are dealt to one unit of work (28 bytes each), and units at least; pairs that wait for their neighbours.
 DEALT, UNITS, HELD = 1 << 19, 48, 1 << 20
 #: Rows that are compared with all others of a block at a time, and so many of those.
 FRONT, SLICE = 64, 4096
@@ -385,44 +385,48 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _deal(units: int, batches):
-    """Rows (cls, component, prefix): a row for each unit, with the shingles that fall to it (32 bits of each), their classes and components."""
+    """Rows (cls, component, prefix, n): a row for each unit, with the shingles that fall to it (32 bits of each), their classes, components and sizes."""
     for batch in batches:
         prefixes = batch.column(2).to_pylist()
         n = np.array([len(x) // 8 for x in prefixes], np.int64)
         grams = np.frombuffer(b"".join(prefixes), np.uint64)
         unit = (grams % np.uint64(units)).astype(np.int64)
         order = np.argsort(unit, kind="stable")
-        columns = [((grams // np.uint64(units)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n)]
+        columns = [((grams // np.uint64(units)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n), np.repeat(batch.column(3).to_numpy(), n)]
         columns = [c[order] for c in columns]
         found, at = np.unique(unit[order], return_index=True)
         ends = np.append(at[1:], len(unit))
         blobs = [pa.array([c[s:e].tobytes() for s, e in zip(at, ends)], pa.binary()) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *blobs], ["unit", "gram", "cls", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *blobs], ["unit", "gram", "cls", "component", "n"])
 
 
-def _meet(batches):
-    """Rows arrive sorted by unit: pairs of classes in different components that share one of their first shingles."""
+def _meet(similarity: float, batches):
+    """Rows arrive sorted by unit: pairs of classes in different components that share one of their first shingles and have sizes
+    that allow the similarity."""
     own, held = None, []
     for batch in batches:
         for unit, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
             if unit != own and held:
-                yield from _pairs_of(held)
+                yield from _pairs_of(held, similarity)
                 held = []
             own = unit
             held.append(blobs)
     if held:
-        yield from _pairs_of(held)
+        yield from _pairs_of(held, similarity)
 
 
-def _pairs_of(held: list):
-    gram, cls, component = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint32, np.int64, np.int64)))
+def _pairs_of(held: list, similarity: float):
+    gram, cls, component, size = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint32, np.int64, np.int64, np.int64)))
     order = np.argsort(gram, kind="stable")
-    gram, cls, component = gram[order], cls[order], component[order]
+    gram, cls, component, size = gram[order], cls[order], component[order], size[order]
     starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
     sizes = np.diff(np.append(starts, len(gram)))
     run = np.repeat(np.arange(len(starts)), sizes)
     found, waiting = [], 0
 
+    def may(x, y):
+        return (component[x] != component[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+
     def met():
         pairs = np.unique(np.stack([np.concatenate([np.minimum(cls[x], cls[y]) for x, y in found]), np.concatenate([np.maximum(cls[x], cls[y]) for x, y in found])], 1), axis=0)
         found.clear()
@@ -432,17 +436,16 @@ def _pairs_of(held: list):
     for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
         at = at[at + d < len(gram)]
         at = at[run[at] == run[at + d]]
-        x = at[component[at] != component[at + d]]
+        x = at[may(at, at + d)]
         found.append((x, x + d))
         waiting += len(x)
         if waiting > HELD:
             yield from met()
             waiting = 0
     for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        own = component[s : s + n]
         for i in range(0, n, 64):
             for j in range(i, n, 1 << 14):  # bounds the memory that a frequent shingle takes
-                x, y = np.nonzero(own[i : i + 64, None] != own[None, j : j + (1 << 14)])
+                x, y = np.nonzero(may(np.arange(s + i, s + min(i + 64, n))[:, None], np.arange(s + j, s + min(j + (1 << 14), n))[None]))
                 x, y = x + i, y + j
                 later = x < y
                 found.append((s + x[later], s + y[later]))
@@ -522,10 +525,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = verified(near)
     before = scratch.write(connected_components(links), "before")
     grams = (classes.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8
-    placed = classes.join(before.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "prefix")
-    units = placed.mapInArrow(partial(_deal, max(UNITS, grams // DEALT)), "unit long, gram binary, cls binary, component binary")
+    placed = classes.join(before.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "prefix", "n")
+    units = placed.mapInArrow(partial(_deal, max(UNITS, grams // DEALT)), "unit long, gram binary, cls binary, component binary, n binary")
     scratch.drop(near)
-    met = scratch.write(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_meet, "a long, b long").distinct(), "met")
+    met = scratch.write(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(partial(_meet, similarity), "a long, b long").distinct(), "met")
     rest = verified(met)
     found = scratch.write(connected_components(links.unionByName(rest)), "found")
     of = classes.select("digest", "cls", "first").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
