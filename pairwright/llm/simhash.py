@@ -181,6 +181,8 @@ ORDER_ROWS, COMMON = 8192, 1 << 16
 DEALT, UNITS, HELD = 1 << 19, 48, 1 << 20
 #: Rows that are compared with all others of a block at a time, and so many of those.
 FRONT, SLICE = 64, 4096
+#: Bits of the parities that go to every unit of work, at most.
+SHORT = 1 << 13
 
 
 def bits_apart(similarity: float) -> float:
@@ -385,76 +387,194 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _deal(units: int, batches):
-    """Rows (cls, component, prefix, n): a row for each unit, with the shingles that fall to it (32 bits of each), their classes, components and sizes."""
+    """Rows (cls, component, prefix, n): a row for each unit, with the shingles that fall to it (32 bits of each), their classes, components, sizes and
+    places in the order."""
     for batch in batches:
         prefixes = batch.column(2).to_pylist()
         n = np.array([len(x) // 8 for x in prefixes], np.int64)
         grams = np.frombuffer(b"".join(prefixes), np.uint64)
         unit = (grams % np.uint64(units)).astype(np.int64)
         order = np.argsort(unit, kind="stable")
-        columns = [((grams // np.uint64(units)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n), np.repeat(batch.column(3).to_numpy(), n)]
+        place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
+        each = [np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1, 3)]
+        columns = [((grams // np.uint64(units)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), *each[:2], each[2].astype(np.uint32), place.astype(np.uint32)]
         columns = [c[order] for c in columns]
         found, at = np.unique(unit[order], return_index=True)
         ends = np.append(at[1:], len(unit))
         blobs = [pa.array([c[s:e].tobytes() for s, e in zip(at, ends)], pa.binary()) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *blobs], ["unit", "gram", "cls", "component", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *blobs], ["unit", "gram", "cls", "component", "n", "place"])
 
 
-def _meet(similarity: float, batches):
-    """Rows arrive sorted by unit: pairs of classes in different components that share one of their first shingles and have sizes
-    that allow the similarity."""
+def _may(similarity: float, component: np.ndarray, n: np.ndarray, place: np.ndarray):
+    """Whether rows with one shingle are of different components and may have the similarity, if that shingle is the first that they
+    share: all that they share are at its place or after it in both."""
+
+    def may(x, y):
+        m, k = n[x], n[y]
+        fit = (component[x] != component[y]) & (np.minimum(m, k) >= similarity * np.maximum(m, k) - 1e-9)
+        return fit & (np.minimum(m - place[x], k - place[y]) >= (m + k) * (similarity / (1 + similarity)) - 1e-9)
+
+    return may
+
+
+def _within(run: np.ndarray, may):
+    """Pairs of rows of one run that ``may`` allows, some at a time; rows are sorted by run."""
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    sizes = np.diff(np.append(starts, len(run)))
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 64), sizes))
+    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
+        at = at[at + d < len(run)]
+        at = at[run[at] == run[at + d]]
+        x = at[may(at, at + d)]
+        yield x, x + d
+    for s, e in zip(starts[sizes > 64], (starts + sizes)[sizes > 64]):
+        for i in range(s, e, 64):
+            for j in range(i, e, 1 << 14):  # bounds the memory that a frequent shingle takes
+                x, y = np.nonzero(may(np.arange(i, min(i + 64, e))[:, None], np.arange(j, min(j + (1 << 14), e))[None]))
+                x, y = x + i, y + j
+                yield x[x < y], y[x < y]
+
+
+def _meet(similarity: float, units: int, batches):
+    """Rows arrive sorted by unit: of the first shingles those that may be the first one that two classes of different components share, with
+    the classes, their places and the number of classes that share it. These are rows of the input, not pairs."""
     own, held = None, []
     for batch in batches:
         for unit, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
             if unit != own and held:
-                yield from _pairs_of(held, similarity)
+                yield _met_of(own, held, similarity, units)
                 held = []
             own = unit
             held.append(blobs)
     if held:
-        yield from _pairs_of(held, similarity)
+        yield _met_of(own, held, similarity, units)
 
 
-def _pairs_of(held: list, similarity: float):
-    gram, cls, component, size = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint32, np.int64, np.int64, np.int64)))
+def _met_of(unit: int, held: list, similarity: float, units: int) -> pa.RecordBatch:
+    gram, cls, component, n, place = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), (np.uint32, np.int64, np.int64, np.uint32, np.uint32)))
     order = np.argsort(gram, kind="stable")
-    gram, cls, component, size = gram[order], cls[order], component[order], size[order]
-    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-    sizes = np.diff(np.append(starts, len(gram)))
-    run = np.repeat(np.arange(len(starts)), sizes)
-    found, waiting = [], 0
+    gram, cls, component, n, place = (c[order].astype(np.int64) for c in (gram, cls, component, n, place))
+    sizes = _counts(gram)
+    hit = sizes > 2 * CHUNK  # of those all stay
+    some = np.flatnonzero((sizes > 1) & ~hit)
+    for x, y in _within(gram[some], _may(similarity, component[some], n[some], place[some])) if len(some) else ():
+        hit[some[x]] = hit[some[y]] = True
+    gram, cls, place = gram[hit], cls[hit], place[hit]
+    return pa.RecordBatch.from_arrays([pa.array(gram * units + unit), pa.array(cls), pa.array(place), pa.array(_counts(gram))], ["gram", "cls", "place", "met"])
 
-    def may(x, y):
-        return (component[x] != component[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
 
-    def met():
-        pairs = np.unique(np.stack([np.concatenate([np.minimum(cls[x], cls[y]) for x, y in found]), np.concatenate([np.maximum(cls[x], cls[y]) for x, y in found])], 1), axis=0)
-        found.clear()
-        yield _pair_batch(pairs[:, 0], pairs[:, 1])
+def _counts(run: np.ndarray) -> np.ndarray:
+    """The length of the run that each row is in."""
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(run)))
+    return np.repeat(sizes, sizes)
 
-    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 64), sizes))
-    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
-        at = at[at + d < len(gram)]
-        at = at[run[at] == run[at + d]]
-        x = at[may(at, at + d)]
-        found.append((x, x + d))
+
+def short_parity(bits: bytes) -> bytes:
+    """Half as many bits as :func:`parity`, but 1,024 at least and ``SHORT`` at most. That tells unlike sets apart up to twice as many shingles as bits."""
+    x = np.frombuffer(bits, np.uint64)
+    return np.bitwise_xor.reduce(x.reshape(-1, max(CHECK_WORDS, min(len(x) // 2, SHORT // 64))), 0).tobytes()
+
+
+def _shortened(batches):
+    for batch in batches:
+        *others, bits = batch.columns
+        yield pa.RecordBatch.from_arrays([*others, pa.array([short_parity(x) for x in bits.to_pylist()], pa.binary())], ["cls", "component", "n", "parity"])
+
+
+def _close(similarity: float, nearest: bool, batches):
+    """Rows arrive sorted by unit: pairs of classes that may be compared (see :func:`_may`) and whose parities allow the similarity,
+    all of them or, with ``nearest``, for each row of a unit the nearest one."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        unit = rows.column("unit").to_numpy()
+        last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+        yield from _close_of(rows.slice(0, last), similarity, nearest)
+        rest = rows.slice(last)
+    if rest is not None:
+        yield from _close_of(rest, similarity, nearest)
+
+
+def _close_of(rows: pa.Table, similarity: float, nearest: bool):
+    if len(rows) < 2:
+        return
+    unit, cls, component, n, place, side = (rows.column(c).to_numpy() for c in ("unit", "cls", "component", "n", "place", "side"))
+    bits = rows.column("parity").to_pylist()
+    words = np.array([len(x) // 8 for x in bits])
+    allowed, tables, found, waiting = _may(similarity, component, n, place), {}, [], 0
+
+    def may(x, y):
+        return allowed(x, y) & ((side[x] != side[y]) | (side[x] < 0))
+
+    def table(size):
+        """The rows with parities of that size and, folded, of twice that size, and where they are."""
+        if size not in tables:
+            at = np.flatnonzero((words == size) | (words == 2 * size))
+            where = np.zeros(len(words), np.int64)
+            where[at] = np.arange(len(at))
+            tables[size] = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, size), 0) for i in at]), where
+        return tables[size]
+
+    def apart(x, y):
+        """Sizes of such pairs are so alike that parities have one size or one has twice the other's."""
+        size, out = np.minimum(words[x], words[y]), np.empty(len(x), np.int64)
+        for s in np.unique(size):
+            own, where = table(int(s))
+            of = np.flatnonzero(size == s)
+            for i in range(0, len(of), 1 << 14):
+                k = of[i : i + (1 << 14)]
+                out[k] = np.bitwise_count(own[where[x[k]]] ^ own[where[y[k]]]).sum(1, dtype=np.int64)
+        return out
+
+    def pairs():
+        a, b = np.concatenate([cls[x] for x, _ in found]), np.concatenate([cls[y] for _, y in found])
+        found.clear()
+        return _pair_batch(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).T)
+
+    best = np.full(len(cls), np.iinfo(np.int64).max)
+    for x, y in _within(unit, may):
+        far, most = apart(x, y), n[x] + n[y]
+        keep = far <= most * ((1 - similarity) / (1 + similarity)) + 1e-9
+        x, y, far, most = x[keep], y[keep], far[keep], most[keep]
+        if nearest:
+            for one, other in ((x, y), (y, x)):
+                np.minimum.at(best, one, ((far << 20) // most) * len(cls) + other)
+            continue
+        found.append((x, y))
         waiting += len(x)
         if waiting > HELD:
-            yield from met()
+            yield pairs()
             waiting = 0
-    for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        for i in range(0, n, 64):
-            for j in range(i, n, 1 << 14):  # bounds the memory that a frequent shingle takes
-                x, y = np.nonzero(may(np.arange(s + i, s + min(i + 64, n))[:, None], np.arange(s + j, s + min(j + (1 << 14), n))[None]))
-                x, y = x + i, y + j
-                later = x < y
-                found.append((s + x[later], s + y[later]))
-                waiting += int(later.sum())
-                if waiting > HELD:
-                    yield from met()
-                    waiting = 0
+    if nearest and len(x := np.flatnonzero(best < np.iinfo(np.int64).max)):
+        found.append((x, best[x] % len(cls)))
+        waiting = len(x)
     if waiting:
-        yield from met()
+        yield pairs()
+
+
+def _placed(classes: DataFrame, components: DataFrame) -> DataFrame:
+    return classes.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def _first_shared(classes: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """Rows ``(gram, cls, place, met)`` of :func:`_meet`."""
+    grams = (classes.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8
+    count = max(UNITS, grams // DEALT)
+    units = _placed(classes, components).select("cls", "component", "prefix", "n").mapInArrow(partial(_deal, count), "unit long, gram binary, cls binary, component binary, n binary, place binary")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(partial(_meet, similarity, count), "gram long, cls long, place long, met long")
+
+
+def _compared(met: DataFrame, classes: DataFrame, components: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of classes in different components whose parities allow the similarity. Classes that share a first shingle are
+    compared within a unit of work, where they are many in pairs of chunks; only pairs that pass become rows."""
+    told = _placed(classes, components).select("cls", "component", "n", "parity").mapInArrow(_shortened, "cls long, component long, n long, parity binary")
+    parts = met.withColumn("g", F.ceil(F.col("met") / F.lit(CHUNK)).cast("int")).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int"))
+    other = F.expr("explode(transform(sequence(0, g - 1), x -> struct(least(c, x) as i, greatest(c, x) as j)))")
+    side = F.when(F.expr("o.i = o.j"), -1).otherwise(F.col("c"))
+    rows = parts.select("gram", "cls", "place", "c", other.alias("o")).select(F.xxhash64("gram", "o.i", "o.j").alias("unit"), "cls", "place", side.alias("side"))
+    dealt = rows.join(told, "cls").select("unit", "cls", "component", "n", "place", "side", "parity").repartition("unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(partial(_close, similarity, nearest), "a long, b long").distinct()
 
 
 def _possible(similarity: float, batches):
@@ -501,11 +621,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more, and no others. Rows with the same set are one class. Pairs of classes are found in two ways, and every pair is
     verified by all its shingles. First by fingerprints of 1,024 bits that are near and agree in a block of further bits, which
     finds most (:func:`cut_for`, :func:`most_apart`). Then, between the components of that, by :func:`prefix_of`: two
-    sets at the similarity share one of their first shingles, a fifth of each, so none is left out. Near copies are one component by
-    then and meet nobody.
+    sets at the similarity share one of their first shingles, a fifth of each, so none is left out. Most near copies are one component by
+    then and don't meet.
 
-    Work on what is left grows with the square of the texts of different components that share a shingle that is among the first ones of
-    each; frequent ones come last. Nothing is capped. Null and empty texts are alike and like nothing else. An empty table gives an
+    What is left costs a row for each first shingle that may be the first one that two texts share (:func:`_may`), and one for each pair that passes the
+    parities: of those the nearest of each text come first, and the others only if they are in different components still. Comparisons of parities within a
+    unit of work are as many as pairs of texts that share such a shingle: that number grows with the square of a group that stays apart;
+    frequent ones come last. Nothing is capped. Null and empty texts are alike and like nothing else. An empty table gives an
     empty result. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "similar")
@@ -524,17 +646,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = scratch.write(dealt.mapInArrow(partial(_block_links, most_apart(similarity, FIRST_WORDS, 4), most_apart(similarity)), "a long, b long").distinct(), "near")
     links = verified(near)
     before = scratch.write(connected_components(links), "before")
-    grams = (classes.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8
-    placed = classes.join(before.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "prefix", "n")
-    units = placed.mapInArrow(partial(_deal, max(UNITS, grams // DEALT)), "unit long, gram binary, cls binary, component binary, n binary")
     scratch.drop(near)
-    met = scratch.write(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(partial(_meet, similarity), "a long, b long").distinct(), "met")
-    rest = verified(met)
-    found = scratch.write(connected_components(links.unionByName(rest)), "found")
+    met = scratch.write(_first_shared(classes, before, similarity), "met")
+    # First everybody's nearest, which joins most of what is to be joined, then all pairs between what is still apart.
+    for nearest in (True, False):
+        close = scratch.write(_compared(met, classes, before, similarity, nearest), "close")
+        rest = verified(close)
+        both = scratch.write(links.unionByName(rest), "both")
+        scratch.drop(close, links, rest, before)
+        links, before = both, scratch.write(connected_components(both), "found")
+    found = before
     of = classes.select("digest", "cls", "first").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     firsts = of.groupBy("component").agg(F.min("first").alias("lead"))
     of = scratch.write(of.join(firsts, "component").select("digest", F.col("lead.doc_id").alias("component_id"), F.col("lead.row_key").alias("lead_key")), "of")
-    scratch.drop(classes, links, before, met, rest, found)
+    scratch.drop(classes, links, met, found)
     return prints.join(of, "digest").select("doc_id", "row_key", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("lead_key"))).alias("rep"))
 
 

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pairwright.llm import simhash
 from pairwright.llm.components import connected_components
 from pairwright.llm.simhash import _forest, bits_apart, block_masks, blocks_for, close_links, cut_for, dedupe, near_groups, parities_apart, parity, similar_groups
 
@@ -159,6 +161,63 @@ def test_all_links_at_the_similarity_and_no_others(spark):
     assert len(close) > 30 and {i: x.component_id for i, x in got.items()} == brute_components(list(sets), alike)
 
 
+@pytest.mark.parametrize("chunk", [16, 1024])
+def test_pairs_that_become_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, chunk):
+    """300 near copies, most of them less alike than 0.8 but with first shingles in common: 44,850 pairs, of which few become rows."""
+    r = random.Random(8)
+    vocab, out = [f"w{i}" for i in range(5000)], []
+    base = r.choices(vocab, k=200)
+    for _ in range(300):
+        near = list(base)
+        for i in r.sample(range(200), r.randint(2, 6)):
+            near[i] = r.choice(vocab)
+        out.append(" ".join(near))
+    rows, write = {}, simhash.Scratch.write
+
+    def counted(self, df, name="t"):
+        stored = write(self, df, name)
+        if {"a", "b"} <= set(df.columns):
+            rows[name] = max(rows.get(name, 0), stored.count())
+        return stored
+
+    monkeypatch.setattr(simhash.Scratch, "write", counted)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    sets = {i: shingles(t) for i, t in enumerate(out)}
+    alike = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    got = {x.doc_id: x.component_id for x in similar_groups(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(out)], SCHEMA)).collect()}
+    assert len(alike) > 1000 and got == brute_components(list(sets), alike) and len(set(got.values())) > 50
+    assert max(rows.values()) <= 10 * len(out), rows
+
+
+def test_first_shared_shingles_and_parities_leave_no_pair_out():
+    """Sets of 3 to 20,000 shingles, their parities of several lengths, some shingles frequent: all pairs of components at the similarity pass, and few others."""
+    r = np.random.default_rng(6)
+    often = r.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = []
+    for n in [3, 5, 9, 30, 100, 230, 255, 258, 500, 1000, 1030, 2040, 2060, 4100, 9000, 20_000] * 3:
+        base = np.unique(np.append(r.integers(0, 2**63, n, dtype=np.uint64), often[: n // 3]))
+        sets.append(base)
+        for _ in range(4):
+            gone = r.random(len(base)) < r.uniform(0, 0.2)
+            sets.append(np.unique(np.append(base[~gone], r.integers(0, 2**63, int(r.integers(0, 1 + len(base) // 10)), dtype=np.uint64))))
+    component = [i if i % 5 else i - i % 3 for i in range(len(sets))]
+    order = (np.sort(often), np.argsort(np.argsort(often[np.argsort(often)])) + 1)
+    prefixes = [simhash.prefix_of(x, order, 0.8).tobytes() for x in sets]
+    ids, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    units = 3
+    dealt = next(simhash._deal(units, [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(component), pa.array(prefixes, pa.binary()), pa.array(sizes)], ["cls", "component", "prefix", "n"])]))
+    met = pa.Table.from_batches(list(simhash._meet(0.8, units, [dealt.take(pa.array(np.argsort(dealt.column(0).to_numpy())))]))).to_pydict()
+    short = [simhash.short_parity(parity(x).tobytes()) for x in sets]
+    assert len({len(x) for x in short}) > 3
+    cls = np.array(met["cls"])
+    rows = pa.table({"unit": met["gram"], "cls": cls, "component": np.array(component)[cls], "n": sizes[cls], "place": met["place"], "side": np.full(len(cls), -1), "parity": pa.array([short[i] for i in cls], pa.binary())}).sort_by("unit")
+    pairs = lambda nearest, size: {p for x in simhash._close(0.8, nearest, rows.to_batches(max_chunksize=size)) for p in zip(*x.to_pydict().values())}
+    alike = {(a, b) for a in ids for b in ids if a < b and component[a] != component[b] and len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * (sizes[a] + sizes[b] - len(x)) - 1e-9}
+    every, nearest = pairs(False, 10_000), pairs(True, 50)
+    assert every == pairs(False, 50) and alike <= every and len(every) < 2 * len(alike) and len(alike) > 50
+    assert nearest <= every and {i for p in nearest for i in p} == {i for p in every for i in p}
+
+
 def test_parities_never_differ_in_more_than_the_sets():
     r = np.random.default_rng(4)
     for n in (1, 30, 1000, 1100, 2000, 9000):
